@@ -1,0 +1,237 @@
+"""Readers and writers of files, in temporary folders."""
+
+import io
+import zipfile
+from datetime import datetime
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from tidegrid.operators.clean import (
+    MissingColumnsError,
+    clean_prices,
+    dedupe_prices,
+    drop_bad_numbers,
+    rejected_prices,
+)
+from tidegrid.operators.files import ledger_merge, recent_files, unprocessed_files
+from tidegrid.schema import PRICE_COLUMNS
+from tidegrid.sinks.tables import write_prices
+from tidegrid.sources.history_csv import clean_history, read_history_csv
+from tidegrid.sources.index_pages import link_manifest, resolve_links
+from tidegrid.sources.market_zip import read_market_zips
+from tidegrid.sources.prices import load_flat_prices, load_prices, read_foreign_prices
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+HEAD = "I,TRADING,PRICE,3,SETTLEMENTDATE,RUNNO,REGIONID,PERIODID,RRP,X,Y,LASTCHANGED\n"
+
+
+def record(stamp, region="VIC1", period=1, price=12.5, changed="2024/01/01 00:00:04"):
+    return f'D,TRADING,PRICE,3,"{stamp}",1,{region},{period},{price},0,0,"{changed}"\n'
+
+
+def put_zip(path, members):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in members.items():
+            archive.writestr(name, text if isinstance(text, bytes) else text.encode())
+
+
+@pytest.fixture()
+def zips(tmp_path):
+    put_zip(tmp_path / "good.zip", {
+        "a.csv": "C,EXAMPLE,HEADER\n" + record("2024/01/01 00:01:00") + HEAD + record("2024/01/01 00:05:00")
+        + "D,TRADING,OTHER,3,1,2,3,4,5,6,7,8\n" + record("2024/01/01 00:10:00", price="x"),
+        "b.CSV": HEAD + record("2024/01/01 00:15:00", region="NSW1") + "D,TRADING,PRICE,3,2024,1,Q,1,2,0,0\n",
+        "no_header.csv": record("2024/01/01 00:20:00"),
+        "notes.txt": HEAD + record("2024/01/01 00:25:00"),
+    })
+    put_zip(tmp_path / "empty_field.zip", {"a.csv": HEAD + record("2024/01/01 00:30:00", changed="")})
+    put_zip(tmp_path / "latin.zip", {
+        "a.csv": HEAD + record("2024/01/01 00:35:00"), "b.csv": "C,caf\xe9\n".encode("latin-1"),
+    })
+    put_zip(tmp_path / "none.zip", {"readme.md": "x"})
+    (tmp_path / "corrupt.zip").write_bytes(b"PK\x03\x04 not a zip")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as archive:
+        archive.writestr("a.csv", HEAD + record("2024/01/01 00:40:00") * 50)
+    damaged = bytearray(buffer.getvalue())
+    damaged[200] ^= 1
+    (tmp_path / "damaged.zip").write_bytes(bytes(damaged))
+    return tmp_path
+
+
+def test_zip_members_and_headers(spark, zips):
+    raw = read_market_zips(spark, str(zips))
+    assert sorted((r.filename, r.member, r.SETTLEMENTDATE[-8:]) for r in raw.collect()) == [
+        ("empty_field.zip", "a.csv", "00:30:00"),
+        ("good.zip", "a.csv", "00:05:00"),
+        ("good.zip", "a.csv", "00:10:00"),
+        ("good.zip", "b.CSV", "00:15:00"),
+    ]
+    clean = clean_prices(raw).orderBy("SETTLEMENTDATE").collect()
+    assert [(r.SETTLEMENTDATE.minute, r.REGIONID, r.PERIODID, r.RRP) for r in clean] == [
+        (5, "VIC1", 1, 12.5),
+        (15, "NSW1", 1, 12.5),
+        (30, "VIC1", 1, 12.5),
+    ]
+    assert clean[0].LASTCHANGED == datetime(2024, 1, 1, 0, 0, 4) and clean[2].LASTCHANGED is None
+    assert [r.reason for r in rejected_prices(raw).collect()] == ["bad price"]
+
+
+def test_long_archive_comes_in_batches(spark, tmp_path):
+    put_zip(tmp_path / "long.zip", {"a.csv": HEAD + record("2024/01/01 00:05:00") * 25_000})
+    assert read_market_zips(spark, str(tmp_path)).count() == 25_000
+
+
+def test_one_bad_value_costs_one_row(spark):
+    rows = [("2024/01/01 00:05:00", "A", "1", "5", ""), ("2024/01/01 00:10:00", "A", "?", "5", ""),
+            ("soon", "A", "1", "5", ""), ("2024/01/01 00:15:00", "A", "3", "", ""), ("2024/01/01 00:20:00", "", "4", "5", "")]
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in PRICE_COLUMNS))
+    assert clean_prices(raw).count() == 1
+    reasons = sorted(r.reason for r in rejected_prices(raw).collect())
+    assert reasons == ["bad date", "bad period", "bad price", "no region"]
+    with pytest.raises(MissingColumnsError, match="RRP"):
+        clean_prices(raw.drop("RRP"))
+
+
+def test_dedupe_keeps_latest_change(spark, make_prices):
+    old, new = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    at = "2024-01-01 00:05"
+    prices = make_prices([(at, "A", 1.0, old), (at, "A", 2.0, new), (at, "B", 3.0, old)])
+    many = prices.unionByName(prices.where("RRP = 1").crossJoin(spark.range(500)).drop("id"))
+    found = dedupe_prices(many)
+    assert found.columns == prices.columns
+    assert sorted((r.REGIONID, r.RRP) for r in found.collect()) == [("A", 2.0), ("B", 3.0)]
+
+
+def test_not_a_number_becomes_null(spark):
+    prices = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,)], "RRP double")
+    assert sorted(r.RRP for r in drop_bad_numbers(prices).na.drop().collect()) == [1.0]
+
+
+@pytest.fixture()
+def history(tmp_path):
+    (tmp_path / "PRICE_2024_a.csv").write_text(
+        "REGION,SETTLEMENTDATE,TOTALDEMAND,RRP\n"
+        "VIC1,2024/01/01 00:00:00,1,10.5\nVIC1,2024/01/01 00:05:00,1,bad\nVIC1,2023/12/31 23:55:00,1,3\n"
+    )
+    (tmp_path / "PRICE_2024_b.csv").write_text(
+        'RRP,SETTLEMENTDATE,REGION\n20,"2024/02/01 00:05:00","NSW1"\n30,2024/06/09 00:00:00,NSW1\n'
+    )
+    (tmp_path / "PRICE_2024_c.csv").write_text("REGIONID,SETTLEMENTDATE,RRP\nQLD1,2024/02/01 00:05:00,1\n")
+    (tmp_path / "PRICE_2023.csv").write_text("REGION,SETTLEMENTDATE,RRP\nVIC1,2024/03/01 00:05:00,1\n")
+    return tmp_path
+
+
+def test_history_columns_by_name(spark, history):
+    raw = read_history_csv(spark, str(history), 2024)
+    assert raw.count() == 5
+    found = clean_history(raw, 2024, "2024-06-09").orderBy("SETTLEMENTDATE").collect()
+    assert [(r.REGIONID, r.RRP, r.PERIODID, r.year, r.month) for r in found] == [
+        ("VIC1", 10.5, 288, 2024, 1),
+        ("NSW1", 20.0, 1, 2024, 2),
+    ]
+    assert all(r.LASTCHANGED == r.SETTLEMENTDATE for r in found)
+    with pytest.raises(PySparkException, match="max_columns"):
+        read_history_csv(spark, str(history), 2024, max_columns=3).collect()
+
+
+def test_append_layout_and_pruning(spark, make_prices, grid, tmp_path):
+    root = str(tmp_path / "prices")
+    prices = make_prices(
+        grid("2023-12-31 22:00", "VIC1", range(48)) + grid("2024-02-01 00:00", "NSW1", range(10))
+    ).repartition(6)
+    write_prices(prices, root)
+    write_prices(prices, root)
+    folders = sorted(str(p.relative_to(root)) for p in (tmp_path / "prices").glob("year=*/*/*"))
+    assert folders == [
+        "year=2023/month=12/REGIONID=VIC1", "year=2024/month=1/REGIONID=VIC1", "year=2024/month=2/REGIONID=NSW1",
+    ]
+    files = list((tmp_path / "prices").glob("year=2024/month=1/REGIONID=VIC1/*.parquet"))
+    assert len(files) == 2
+    stamps = pq.read_table(files[0], columns=["SETTLEMENTDATE"]).column(0).to_pylist()
+    assert stamps == sorted(stamps) and len(stamps) == 24
+    assert load_prices(spark, root).count() == 116
+    part = load_prices(spark, root, years=[2024], regions=["VIC1"])
+    assert part.count() == 48 and all("REGIONID=VIC1" in f and "year=2024" in f for f in part.inputFiles()) is False
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "REGIONID" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    late = load_prices(spark, root, start=datetime(2024, 1, 1), end=datetime(2024, 1, 31))
+    assert late.count() == 48
+    flat = load_flat_prices(spark, f"{root}/year=2024/month=1/*/*.parquet")
+    assert flat.count() == 0 or flat.columns == ["settlementdate", "regionid", "rrp"]
+
+
+def test_load_id_replaces_its_own_rows(spark, make_prices, grid, tmp_path):
+    root = str(tmp_path / "prices")
+    prices = make_prices(grid("2024-01-01 00:00", "A", range(10)))
+    write_prices(prices, root, "x-1")
+    write_prices(prices, root, "x-2")
+    write_prices(prices, root, "x-1")
+    assert load_prices(spark, root).count() == 20
+    assert load_prices(spark, root).columns[-3:] == ["year", "month", "REGIONID"]
+
+
+def test_flat_scan(spark, tmp_path):
+    for month in ("2024-01", "2024-02"):
+        (tmp_path / month).mkdir()
+        table = pa.table({
+            "settlementdate": pa.array([datetime(2024, 1, 1)], pa.timestamp("us")), "regionid": ["VIC1"], "rrp": [1.5],
+        })
+        pq.write_table(table, tmp_path / month / "p.parquet")
+    assert load_flat_prices(spark, f"{tmp_path}/*/*.parquet").where("regionid = 'VIC1'").count() == 2
+
+
+def test_foreign_tables(spark, tmp_path):
+    """Nanosecond stamps, and LASTCHANGED as text in one file and as a stamp in the other."""
+    at = datetime(2024, 1, 1, 0, 5)
+    for number, (kind, changed) in enumerate(((pa.string(), "2024/01/01 00:06:00"), (pa.timestamp("ns"), at))):
+        folder = tmp_path / f"year=2024/month=1/REGIONID={'VIC1' if number else 'NSW1'}"
+        folder.mkdir(parents=True)
+        pq.write_table(
+            pa.table({
+                "SETTLEMENTDATE": pa.array([at], pa.timestamp("ns")), "PERIODID": pa.array([1], pa.int16()),
+                "RRP": [2.5], "LASTCHANGED": pa.array([changed], kind),
+            }),
+            folder / "p.parquet",
+        )
+    rows = {r.REGIONID: r for r in read_foreign_prices(spark, str(tmp_path)).collect()}
+    assert rows["NSW1"].LASTCHANGED == datetime(2024, 1, 1, 0, 6) and rows["VIC1"].LASTCHANGED == at
+    assert all((r.SETTLEMENTDATE, r.year, r.month, r.RRP) == (at, 2024, 1, 2.5) for r in rows.values())
+
+
+def test_links(spark):
+    html = """<A class=x HREF='/r/a.zip'>1</A><a href="b.zip">2</a><a href=http://h/c.zip>3</a><a href="d.ZIP">4</a>
+      <!-- <a href="no.zip"> --><script>x='<a href="no.zip">'</script><abbr href="no.zip"><a data-href="no.zip">
+      <a
+      title="t" href="/q?x=1&amp;y=e.zip">5</a><a name="z">6</a>"""
+    pages = spark.createDataFrame([(1, "http://h.org/i/", html)], "page_id bigint, url string, html string")
+    links = link_manifest(pages)
+    assert [r.link for r in links.collect()] == ["/r/a.zip", "b.zip", "http://h/c.zip", "/q?x=1&y=e.zip"]
+    found = resolve_links(links, F.col("url"), F.lit("http://h.org")).collect()
+    assert [r.full_url for r in found] == [
+        "http://h.org/r/a.zip", "http://h.org/i/b.zip", "http://h/c.zip", "http://h.org/q?x=1&y=e.zip",
+    ]
+    assert [r.filename for r in found] == ["a.zip", "b.zip", "c.zip", "q?x=1&y=e.zip"]
+
+
+def test_file_dates(spark):
+    names = ["a_20250609.zip", "b_09062025.zip", "c_99999999.zip", "d.zip", "e_20250602_x.zip", "f_202506081234.zip"]
+    links = spark.createDataFrame([(n,) for n in names], "link string")
+    found = {r.link[0]: r.file_date for r in recent_files(links, datetime(2025, 6, 9, 12), 7).collect()}
+    assert found == {"a": datetime(2025, 6, 9), "b": datetime(2025, 6, 9), "f": datetime(2025, 6, 8)}
+    midnight = recent_files(links, datetime(2025, 6, 9), 7)
+    assert {r.link[0] for r in midnight.collect()} == {"a", "b", "e", "f"}
+
+
+def test_ledger(spark):
+    t = datetime(2024, 1, 1)
+    kind = "filename string, processed_time timestamp_ntz"
+    ledger = spark.createDataFrame([("a", t)], kind)
+    files = spark.createDataFrame([("a", t.replace(day=5)), ("b", t.replace(day=3)), ("b", t.replace(day=2))], kind)
+    assert [r.filename for r in unprocessed_files(files, ledger).collect()] == ["b", "b"]
+    merged = ledger_merge(ledger, files).collect()
+    assert sorted((r.filename, r.processed_time.day) for r in merged) == [("a", 1), ("b", 2)]
+    assert sorted(r.filename for r in ledger_merge(ledger.limit(0), files).collect()) == ["a", "b"]

@@ -42,10 +42,14 @@ class Warehouse:
         return f"{self.root}/checkpoints/{source}"
 
 
+def _load(spark: SparkSession, warehouse: Warehouse, load_id: str) -> DataFrame:
+    return load_prices(spark, f"{warehouse.prices}/load_id={load_id}")
+
+
 def refresh_summary(spark: SparkSession, warehouse: Warehouse, load_id: str) -> None:
     """Recompute ``price_summary`` for the months that one load touched, from all loads."""
     prices = load_prices(spark, warehouse.prices)
-    months = spark.read.parquet(f"{warehouse.prices}/load_id={load_id}").select("year", "month").distinct()
+    months = _load(spark, warehouse, load_id).select("year", "month").distinct()
     # A calendar has few months: the list is small whatever the load holds, and prunes the price partitions.
     touched = prices.join(F.broadcast(months), ["year", "month"], "left_semi")
     write_summary(price_summary(touched), warehouse.summary)
@@ -63,7 +67,7 @@ def _store(prices: DataFrame, files: DataFrame, warehouse: Warehouse, source: st
     )
     earlier = _loaded(spark, warehouse, source, load_id)
     write_ledger(ledger_additions(earlier, entries), warehouse.ledger, load_id)
-    if not spark.read.parquet(f"{warehouse.prices}/load_id={load_id}").isEmpty():
+    if not _load(spark, warehouse, load_id).isEmpty():
         refresh_summary(spark, warehouse, load_id)
 
 
