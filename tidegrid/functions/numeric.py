@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 UNITS_PER_PRICE = 100_000
 
-_PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Decimal notation only, short enough never to overflow to infinity.
+_PLAIN_NUMBER = r"^\s*[+-]?(\d{1,99}(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?\s*$"
 
 
 def price_units(price: Column | str) -> Column:
@@ -58,9 +59,7 @@ def round_half_even(value: Column, digits: int) -> Column:
 
 def parse_number(text: Column | str) -> Column:
     """Finite number in ``text`` as DOUBLE, else NULL."""
-    value = F.trim(F.col(text) if isinstance(text, str) else text)
-    number = F.when(value.rlike(_PLAIN_NUMBER), value).try_cast("double")
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    return F.regexp_extract(text, _PLAIN_NUMBER, 0).try_cast("double")
 
 
 def parse_small_int(text: Column | str) -> Column:

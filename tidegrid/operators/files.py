@@ -13,21 +13,18 @@ def file_name(link: Column | str) -> Column:
     return F.element_at(F.split(link, "/"), -1)
 
 
-def file_date(link: Column | str) -> Column:
+def file_date(link: Column) -> Column:
     """Midnight of the date in the first run of eight digits, read as YYYYMMDD, else as DDMMYYYY."""
-    digits = F.regexp_extract(link, r"(\d{8})", 1)
-
-    def dated(year: int, month: int, day: int) -> Column:
-        parts = [F.substring(digits, year, 4), F.substring(digits, month, 2), F.substring(digits, day, 2)]
-        return F.concat_ws("-", *parts).try_cast("date")
-
-    return F.coalesce(dated(1, 5, 7), dated(5, 3, 1)).cast("timestamp_ntz")
+    marked = F.concat(F.lit("#"), link)
+    year_first = F.regexp_replace(marked, r"(?s)^.*?(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3")
+    day_first = F.regexp_replace(marked, r"(?s)^.*?(\d{2})(\d{2})(\d{4}).*$", "$3-$2-$1")
+    return F.coalesce(year_first.try_cast("date"), day_first.try_cast("date")).cast("timestamp_ntz")
 
 
 def recent_files(links: DataFrame, as_of: datetime, days_back: int = 7, link: str = "link") -> DataFrame:
     """Links whose file date is not older than ``days_back`` days before ``as_of``; undated links drop out."""
     cutoff = F.lit(as_of.replace(tzinfo=None)) - F.make_dt_interval(F.lit(days_back))
-    return links.withColumn("file_date", file_date(link)).where(F.col("file_date") >= cutoff)
+    return links.withColumn("file_date", file_date(F.col(link))).where(F.col("file_date") >= cutoff)
 
 
 def unprocessed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:

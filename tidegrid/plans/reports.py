@@ -163,6 +163,30 @@ def top_days(daily: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def display_days(daily: DataFrame) -> DataFrame:
+    """Daily results as text: times to the minute, money with two decimals."""
+
+    def span(side: str) -> Column:
+        times = [F.date_format(f"{side}_{end}_time", "HH:mm") for end in ("start", "end")]
+        return F.concat_ws(" - ", *times)
+
+    def money(column: str, unit: str = "") -> Column:
+        return F.format_string(f"$%.2f{unit}", round_half_even(F.col(column), 2))
+
+    return daily.select(
+        "REGIONID",
+        F.date_format("trade_date", "yyyy-MM-dd").alias("date"),
+        span("charge").alias("charge_window"),
+        money("charge_avg_price", "/MWh").alias("charge_price"),
+        money("charging_cost").alias("charging_cost"),
+        span("discharge").alias("discharge_window"),
+        money("discharge_avg_price", "/MWh").alias("discharge_price"),
+        money("discharge_revenue").alias("discharge_revenue"),
+        money("daily_profit").alias("daily_profit"),
+        money("price_spread", "/MWh").alias("price_spread"),
+    )
+
+
 def key_insights(annual: DataFrame) -> DataFrame:
     """Totals over all regions and the best region by profit and by return; first region name on ties."""
     roi, profit, region = F.col("annual_roi_percent"), F.col("total_profit"), F.col("REGIONID")
