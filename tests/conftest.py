@@ -12,7 +12,12 @@ SMALL_SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def checkpoints(tmp_path_factory):
+    return tmp_path_factory.mktemp("checkpoints")
+
+
+@pytest.fixture(scope="session")
+def spark(checkpoints):
     session = build_session(
         "tidegrid-tests",
         master="local[8]",
@@ -20,6 +25,7 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
+        spark__checkpoint__dir=str(checkpoints),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

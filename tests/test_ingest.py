@@ -23,7 +23,7 @@ def landing(tmp_path):
     folder.mkdir()
     for day in (1, 2):
         text = HEAD + record(f"2024/01/{day:02d} 00:05:00") + record(f"2024/02/{day:02d} 00:05:00", price=day)
-        put_zip(folder / f"p_2024010{day}.zip", {"a.csv": text})
+        put_zip(folder / f"p [x] {{{day}}}_2024010{day}.zip", {"a.csv": text})
     (folder / "bad.zip").write_bytes(b"nothing")
     return folder
 
@@ -48,7 +48,10 @@ def check(spark, landing, warehouse):
 def test_stream_equals_batch_and_repeats_add_nothing(spark, landing, warehouse):
     run(spark, landing, warehouse)
     check(spark, landing, warehouse)
-    assert {r.filename for r in read_ledger(spark, warehouse.ledger).collect()} == {"p_20240101.zip", "p_20240102.zip"}
+    assert {r.filename for r in read_ledger(spark, warehouse.ledger).collect()} == {
+        "p [x] {1}_20240101.zip",
+        "p [x] {2}_20240102.zip",
+    }
     run(spark, landing, warehouse)
     check(spark, landing, warehouse)
 
@@ -71,7 +74,8 @@ def test_known_name_in_another_folder_is_skipped(spark, landing, warehouse, tmp_
     run(spark, landing, warehouse)
     copy = tmp_path / "again"
     copy.mkdir()
-    (copy / "p_20240101.zip").write_bytes((landing / "p_20240101.zip").read_bytes())
+    name = "p [x] {1}_20240101.zip"
+    (copy / name).write_bytes((landing / name).read_bytes())
     files = spark.read.format("binaryFile").load(str(copy))
     assert ingest._new_files(files, read_ledger(spark, warehouse.ledger)).isEmpty()
     twice = files.unionByName(spark.read.format("binaryFile").load(str(landing)))

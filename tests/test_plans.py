@@ -7,7 +7,7 @@ from conftest import SF
 
 import __spark_entry__ as entry_module
 from tidegrid.operators.arbitrage import daily_arbitrage
-from tidegrid.operators.groups import count_oversized
+from tidegrid.operators.groups import oversized_groups
 from tidegrid.operators.windows import DAY, rolling_trailing
 from tidegrid.plans.catalog import event_prices, order_prices
 from tidegrid.functions.calendar import trade_day
@@ -58,8 +58,8 @@ def test_group_check_reads_keys_only(spark):
     dated = event_prices(spark, SF).withColumn("trade_date", trade_day("SETTLEMENTDATE"))
     counts = dated.groupBy(*DAY).count()
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan_of(counts)
-    assert count_oversized(dated, DAY, 60) > 100 and count_oversized(dated, DAY, 1000) == 0
-    assert count_oversized(dated, DAY, None) == 0
+    assert oversized_groups(dated, DAY, 60).count() > 100
+    assert oversized_groups(dated, DAY, 1000) is None and oversized_groups(dated, DAY, None) is None
 
 
 def test_filters_reach_the_scan(spark):

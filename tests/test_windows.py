@@ -11,7 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tidegrid.operators.arbitrage import annual_arbitrage, daily_arbitrage
-from tidegrid.operators.groups import cut_groups
+from tidegrid.operators.groups import cut_groups, oversized_groups
 from tidegrid.operators.windows import (
     monthly_extremes,
     period_of_day,
@@ -138,11 +138,30 @@ def test_split_groups_change_nothing_on_tables(spark, name):
     assert rows_of(OPERATORS[name](prices, 30)) == rows_of(OPERATORS[name](prices, None))
 
 
+def test_columns_keep_their_order(skewed):
+    _, prices = skewed
+    for operator in OPERATORS.values():
+        assert operator(prices, 11).columns == operator(prices, None).columns
+
+
+def test_split_ranks_use_the_checkpoint_folder(skewed, checkpoints):
+    def files():
+        return {p for p in checkpoints.rglob("part-*")}
+
+    _, prices = skewed
+    before = files()
+    ranked_windows(prices, 6, max_group_rows=None).count()
+    assert files() == before
+    ranked_windows(prices, 6, max_group_rows=50).count()
+    assert files() > before
+
+
 def test_chunks_stay_bounded(skewed):
     """Only a slot that is itself larger than the limit makes a larger chunk."""
     _, prices = skewed
     slots = {"_at": F.col("SETTLEMENTDATE")}
-    chunks = cut_groups(prices, ["REGIONID"], slots, 50, 1).groupBy("REGIONID", "_chunk").count()
+    big = oversized_groups(prices, ["REGIONID"], 50)
+    chunks = cut_groups(prices, ["REGIONID"], slots, 50, big).groupBy("REGIONID", "_chunk").count()
     sizes = [r["count"] for r in chunks.collect()]
     assert max(sizes) <= 50 and len(sizes) > 15
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ SEASON_MONTHS = {"Summer": (12, 1, 2), "Autumn": (3, 4, 5), "Winter": (6, 7, 8)}
 MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
+def at(moment: datetime) -> Column:
+    """Zone-less literal; a plain ``lit`` of a datetime would depend on the session time zone."""
+    return F.lit(moment.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def truncate(unit: str, ts: Column | str) -> Column:
     """Start of the ``hour``, ``day``, ``week`` (Monday) or ``month``, zone-less in any session time zone."""
     day = F.to_date(ts)

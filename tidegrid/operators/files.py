@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.calendar import at
+
 
 def file_name(link: Column | str) -> Column:
     """Text after the last slash."""
@@ -23,7 +25,7 @@ def file_date(link: Column) -> Column:
 
 def recent_files(links: DataFrame, as_of: datetime, days_back: int = 7, link: str = "link") -> DataFrame:
     """Links whose file date is not older than ``days_back`` days before ``as_of``; undated links drop out."""
-    cutoff = F.lit(as_of.replace(tzinfo=None)) - F.make_dt_interval(F.lit(days_back))
+    cutoff = at(as_of) - F.make_dt_interval(F.lit(days_back))
     return links.withColumn("file_date", file_date(F.col(link))).where(F.col("file_date") >= cutoff)
 
 

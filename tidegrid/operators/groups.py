@@ -21,14 +21,27 @@ MAX_GROUP_ROWS = 1_000_000
 MAX_BROADCAST_KEYS = 50_000
 
 
-def oversized_groups(df: DataFrame, keys: Sequence[str], max_group_rows: int) -> DataFrame:
-    """Keys of the groups with more than ``max_group_rows`` rows."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group_rows).select(*keys)
+def oversized_groups(df: DataFrame, keys: Sequence[str], max_group_rows: int | None) -> DataFrame | None:
+    """Keys of the groups with more than ``max_group_rows`` rows, or None if there are none.
+
+    Counts them in a job of its own. ``max_group_rows=None`` trusts the groups to be small and runs no job.
+    """
+    if max_group_rows is None:
+        return None
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group_rows).select(*keys)
+    found = big.count()
+    if not found:
+        return None
+    return F.broadcast(big) if found <= MAX_BROADCAST_KEYS else big
 
 
-def count_oversized(df: DataFrame, keys: Sequence[str], max_group_rows: int | None) -> int:
-    """Number of oversized groups; ``None`` trusts the groups to be small and runs no job."""
-    return 0 if max_group_rows is None else oversized_groups(df, keys, max_group_rows).count()
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed where the cluster names a checkpoint folder, else ``df``.
+
+    For results that several branches of one plan read, so that they are not computed for each.
+    """
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    return df.checkpoint() if folder else df
 
 
 def cut_groups(
@@ -36,17 +49,15 @@ def cut_groups(
     keys: Sequence[str],
     slots: Mapping[str, Column],
     max_group_rows: int,
-    oversized: int,
+    big: DataFrame,
 ) -> DataFrame:
     """Add ``_chunk`` and ``_base``: the run a row belongs to and the rows of its group before that run.
 
     ``slots`` are named columns whose ascending order agrees with the row order inside a group. Rows of
-    one slot stay together; neighbouring slots share a chunk while they fit into ``max_group_rows``.
+    one slot stay together; neighbouring slots share a chunk while they fit into ``max_group_rows``. Groups
+    not in ``big`` are one chunk.
     """
     slotted = df.withColumns(dict(slots))
-    big = oversized_groups(df, keys, max_group_rows)
-    if oversized <= MAX_BROADCAST_KEYS:
-        big = F.broadcast(big)
     cell = [*keys, *slots]
     in_order = Window.partitionBy(*keys).orderBy(*slots)
     cuts = (
@@ -72,16 +83,16 @@ def number_rows(
     slots: Mapping[str, Column],
     name: str,
     max_group_rows: int | None,
-    oversized: int,
+    big: DataFrame | None,
 ) -> DataFrame:
     """``row_number()`` by ``keys`` in ``order`` as BIGINT column ``name``, for groups of any size."""
-    if not oversized:
+    if big is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        cut_groups(df, keys, slots, max_group_rows, oversized)
+        cut_groups(df, keys, slots, max_group_rows, big)
         .withColumn(name, F.row_number().over(chunk) + F.col("_base"))
-        .drop("_chunk", "_base")
+        .select(*df.columns, name)
     )
 
 

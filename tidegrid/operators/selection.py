@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.calendar import day_of_week, day_type, season
+from tidegrid.functions.calendar import at, day_of_week, day_type, season
 
 
 def midnight(day: date | str) -> datetime:
@@ -31,8 +31,8 @@ def filter_range(
     """
     first, last = midnight(start), midnight(end)
     stamp = F.col("SETTLEMENTDATE")
-    until = stamp < F.lit(last) + F.expr("INTERVAL 1 DAY") if end_inclusive else stamp <= F.lit(last)
-    chosen = prices.where(F.col("REGIONID").isin(*regions)).where(stamp >= F.lit(first)).where(until)
+    until = stamp < at(last) + F.expr("INTERVAL 1 DAY") if end_inclusive else stamp <= at(last)
+    chosen = prices.where(F.col("REGIONID").isin(*regions)).where(stamp >= at(first)).where(until)
     if "year" in prices.columns:
         chosen = chosen.where(F.col("year").between(first.year, last.year))
     return chosen
@@ -42,7 +42,7 @@ def backfill_filter(prices: DataFrame, year: int, cutoff: date | str) -> DataFra
     """Rows of one calendar year strictly before a cutoff day."""
     stamp = F.col("SETTLEMENTDATE")
     start, following = datetime(year, 1, 1), datetime(year + 1, 1, 1)
-    return prices.where((stamp >= F.lit(start)) & (stamp < F.lit(following)) & (stamp < F.lit(midnight(cutoff))))
+    return prices.where((stamp >= at(start)) & (stamp < at(following)) & (stamp < at(midnight(cutoff))))
 
 
 def distinct_regions(prices: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import INTERVAL_MINUTES, minutes, second_of_day, trade_day, truncate
 from tidegrid.functions.numeric import from_units, price_units
-from tidegrid.operators.groups import MAX_GROUP_ROWS, count_oversized, cut_groups, lend_edges, number_rows
+from tidegrid.operators.groups import MAX_GROUP_ROWS, cut_groups, lend_edges, number_rows, oversized_groups, settle
 
 # Fixed value: 24 five-minute rows are the two-hour window.
 WINDOW_ROWS = 24
@@ -25,9 +25,9 @@ def period_of_day(
 ) -> DataFrame:
     """Number the intervals of each region-day 1, 2, .. in time order."""
     dated = prices.withColumn("trade_date", trade_day("SETTLEMENTDATE", trade_day_of))
-    oversized = count_oversized(dated, DAY, max_group_rows)
+    big = oversized_groups(dated, DAY, max_group_rows)
     order = [F.col(c) for c in TIME_ORDER]
-    return number_rows(dated, DAY, order, _time_slots(), "period_of_day", max_group_rows, oversized)
+    return number_rows(dated, DAY, order, _time_slots(), "period_of_day", max_group_rows, big)
 
 
 def _dated_units(prices: DataFrame, trade_day_of: str) -> DataFrame:
@@ -56,8 +56,8 @@ def rolling_forward(
     end of the day; ``strict_time`` keeps only windows whose rows follow each other without a gap.
     """
     dated = _dated_units(prices, trade_day_of)
-    oversized = count_oversized(dated, DAY, max_group_rows)
-    return _forward(dated, window_rows, complete_only, extremes, volatility, strict_time, max_group_rows, oversized)
+    big = oversized_groups(dated, DAY, max_group_rows)
+    return _forward(dated, window_rows, complete_only, extremes, volatility, strict_time, max_group_rows, big)
 
 
 def _forward(
@@ -68,7 +68,7 @@ def _forward(
     volatility: bool,
     strict_time: bool,
     max_group_rows: int | None,
-    oversized: int,
+    big: DataFrame | None,
 ) -> DataFrame:
     """Forward frames: the sum of a complete window is the difference of two running sums.
 
@@ -76,9 +76,9 @@ def _forward(
     deviation need the sliding frame and are only computed on request.
     """
     part = DAY
-    if oversized:
+    if big is not None:
         part = [*DAY, "_chunk"]
-        chunked = cut_groups(dated, DAY, _time_slots(), max_group_rows, oversized)
+        chunked = cut_groups(dated, DAY, _time_slots(), max_group_rows, big)
         dated = lend_edges(chunked, DAY, ["_chunk"], TIME_ORDER, ["_units"], window_rows - 1, trailing=False)
     rows = Window.partitionBy(*part).orderBy(*TIME_ORDER)
     so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,7 +112,7 @@ def _forward(
         span = minutes(INTERVAL_MINUTES * (window_rows - 1))
         framed = framed.where(F.col("_last") == F.col("SETTLEMENTDATE") + span)
     period = F.col("_number")
-    if oversized:
+    if big is not None:
         # Borrowed rows follow a chunk's own rows, so they do not disturb the numbering.
         framed = framed.where(~F.col("_halo"))
         period = period + F.col("_base")
@@ -146,11 +146,11 @@ def rolling_trailing(
         .select("REGIONID", "SETTLEMENTDATE", "RRP")
         .withColumns({"month": truncate("month", "SETTLEMENTDATE"), "_units": price_units("RRP")})
     )
-    oversized = count_oversized(monthly, ["REGIONID", "month"], max_group_rows)
+    big = oversized_groups(monthly, ["REGIONID", "month"], max_group_rows)
     chunk = ["month"]
-    if oversized:
+    if big is not None:
         chunk = ["month", "_chunk"]
-        monthly = cut_groups(monthly, ["REGIONID", "month"], _time_slots(), max_group_rows, oversized)
+        monthly = cut_groups(monthly, ["REGIONID", "month"], _time_slots(), max_group_rows, big)
     shared = lend_edges(monthly, ["REGIONID"], chunk, TIME_ORDER, ["_units"], window_rows - 1, trailing=True)
     rows = Window.partitionBy("REGIONID", *chunk).orderBy(*TIME_ORDER)
     so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -188,14 +188,16 @@ def ranked_windows(
     :func:`tidegrid.operators.arbitrage.daily_arbitrage`, which needs no ranking.
     """
     dated = _dated_units(prices, trade_day_of)
-    oversized = count_oversized(dated, DAY, max_group_rows)
-    windows = _forward(dated, window_rows, True, False, False, strict_time, max_group_rows, oversized)
+    big = oversized_groups(dated, DAY, max_group_rows)
+    windows = _forward(dated, window_rows, True, False, False, strict_time, max_group_rows, big)
+    if big is not None:
+        windows = settle(windows)
     level, period = F.col("window_units"), F.col("period_of_day")
     # Equal levels are numbered block by block, so one frequent price does not become one task.
     block = F.floor(period / (max_group_rows or MAX_GROUP_ROWS))
     for name, order, first in (("charge_rank", level.asc(), level), ("discharge_rank", level.desc(), -level)):
         slots = {"_level": first, "_block": block}
-        windows = number_rows(windows, DAY, [order, period.asc()], slots, name, max_group_rows, oversized)
+        windows = number_rows(windows, DAY, [order, period.asc()], slots, name, max_group_rows, big)
     return windows
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.functions.calendar import parse_timestamp
+from tidegrid.functions.calendar import at, parse_timestamp
 from tidegrid.operators.clean import drop_bad_numbers
 from tidegrid.schema import FLAT_PRICES, PARTITION_COLUMNS, PRICES
 
@@ -35,10 +35,10 @@ def load_prices(
             prices = prices.where(F.col(column).isin(*values))
     month_number = F.col("year") * 12 + F.col("month")
     if start is not None:
-        prices = prices.where(F.col("SETTLEMENTDATE") >= F.lit(start))
+        prices = prices.where(F.col("SETTLEMENTDATE") >= at(start))
         prices = prices.where(month_number >= start.year * 12 + start.month)
     if end is not None:
-        prices = prices.where(F.col("SETTLEMENTDATE") <= F.lit(end))
+        prices = prices.where(F.col("SETTLEMENTDATE") <= at(end))
         prices = prices.where(month_number <= end.year * 12 + end.month)
     return drop_bad_numbers(prices)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import date
 
@@ -83,6 +84,11 @@ def _new_files(files: DataFrame, loaded: DataFrame) -> DataFrame:
     return unprocessed_files(named.groupBy("filename").agg(F.min("path").alias("path")), loaded)
 
 
+def _literal_path(path: str) -> str:
+    """``path`` with the characters escaped that would make it a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def ingest_market_zips(
     spark: SparkSession,
     landing: str,
@@ -108,11 +114,14 @@ def ingest_market_zips(
         stream = stream.option("maxFileAge", max_file_age)
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         load_id = f"{source}-{batch_id:09d}"
-        loaded = _loaded(batch.sparkSession, warehouse, source, load_id)
-        # At most max_files_per_batch paths.
-        chosen = F.broadcast(_new_files(batch, loaded).select("path"))
-        raw = decode_market_zips(batch.join(chosen, "path", "left_semi")).persist(StorageLevel.DISK_ONLY)
+        # At most max_files_per_batch paths; the stream itself carries no file contents.
+        chosen = [r.path for r in _new_files(batch, _loaded(session, warehouse, source, load_id)).collect()]
+        if not chosen:
+            return
+        files = session.read.format("binaryFile").load([_literal_path(path) for path in chosen])
+        raw = decode_market_zips(files).persist(StorageLevel.DISK_ONLY)
         try:
             _store(clean_prices(raw), raw.select("filename").distinct(), warehouse, source, load_id)
         finally:
@@ -120,6 +129,7 @@ def ingest_market_zips(
 
     return (
         stream.load(landing)
+        .select("path")
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", warehouse.checkpoint(source))
         .trigger(availableNow=True)
