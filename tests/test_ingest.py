@@ -104,7 +104,7 @@ def test_failed_batch_is_repeated_without_doubling(spark, landing, warehouse, mo
 def test_backfill(spark, tmp_path, warehouse):
     folder = tmp_path / "history"
     folder.mkdir()
-    (folder / "h_2024_1.csv").write_text("REGION,SETTLEMENTDATE,RRP\nVIC1,2024/01/01 00:05:00,1\n")
+    (folder / "h [1] é+%20_2024.csv").write_text("REGION,SETTLEMENTDATE,RRP\nVIC1,2024/01/01 00:05:00,1\n")
     backfill_history(spark, str(folder), warehouse, 2024, "2024-06-09", "historic-1")
     backfill_history(spark, str(folder), warehouse, 2024, "2024-06-09", "historic-1")
     assert load_prices(spark, warehouse.prices).count() == 1

@@ -15,6 +15,11 @@ def file_name(link: Column | str) -> Column:
     return F.element_at(F.split(link, "/"), -1)
 
 
+def percent_decoded(text: Column) -> Column:
+    """``text`` with ``%xx`` sequences replaced; unlike in a form, a plus sign stays one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def file_date(link: Column) -> Column:
     """Midnight of the date in the first run of eight digits, read as YYYYMMDD, else as DDMMYYYY."""
     marked = F.concat(F.lit("#"), link)

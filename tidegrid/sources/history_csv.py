@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from tidegrid.functions.calendar import parse_timestamp, period_id
 from tidegrid.functions.numeric import parse_number
 from tidegrid.operators.clean import with_partition_columns
+from tidegrid.operators.files import percent_decoded
 from tidegrid.operators.selection import backfill_filter
 from tidegrid.schema import PRICE_COLUMNS
 
@@ -21,18 +23,22 @@ REQUIRED = ("REGION", "SETTLEMENTDATE", "RRP")
 MAX_BROADCAST_FILES = 20_000
 
 
-def read_history_csv(spark: SparkSession, folder: str, year: int, max_columns: int = 64) -> DataFrame:
+def read_history_csv(
+    spark: SparkSession, paths: str | Sequence[str], year: int, max_columns: int = 64
+) -> DataFrame:
     """Text rows ``filename, REGION, SETTLEMENTDATE, RRP`` of the CSV files with ``year`` in their name.
 
+    ``paths`` is a folder or a list of files.
+
     Columns are found by the heading of each file, so files may order them differently; a file that lacks
     a required heading contributes nothing, and one with ``max_columns`` or more columns raises. One scan
     reads the values, a second one only finds the headings, which a file holds in its first block.
     """
     wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    files = spark.read.schema(wide).option("pathGlobFilter", f"*{year}*.csv").csv(folder)
+    files = spark.read.schema(wide).option("pathGlobFilter", f"*{year}*.csv").csv(paths if isinstance(paths, str) else list(paths))
     cells = files.select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("filename"),
+        percent_decoded(F.col("_metadata.file_name")).alias("filename"),
         F.col("_metadata.file_block_start").alias("block"),
         F.array(*wide.names).alias("cells"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import at, parse_timestamp
 from tidegrid.operators.clean import drop_bad_numbers
+from tidegrid.operators.files import percent_decoded
 from tidegrid.schema import FLAT_PRICES, PARTITION_COLUMNS, PRICES
 
 
@@ -92,7 +93,7 @@ def read_foreign_prices(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
     files = files.option("recursiveFileLookup", "true").load(root).select("path", "content")
     rows = files.mapInArrow(_foreign_rows, _FOREIGN)
-    folder = {c: F.url_decode(F.regexp_extract("path", rf"/{c}=([^/]+)/", 1)) for c in PARTITION_COLUMNS}
+    folder = {c: percent_decoded(F.regexp_extract("path", rf"/{c}=([^/]+)/", 1)) for c in PARTITION_COLUMNS}
     canonical = rows.select(
         "SETTLEMENTDATE",
         "PERIODID",

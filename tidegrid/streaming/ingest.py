@@ -151,6 +151,10 @@ def backfill_history(
 
     ``load_id`` names the run: repeating a failed run under the same name replaces its output.
     """
-    raw = unprocessed_files(read_history_csv(spark, folder, year), _loaded(spark, warehouse, source, load_id))
-    prices = clean_history(raw, year, cutoff)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{year}*.csv").load(folder)
+    # File names only, like the listing Spark keeps on the driver itself; loaded files are not opened.
+    chosen = [r.path for r in _new_files(files, _loaded(spark, warehouse, source, load_id)).collect()]
+    if not chosen:
+        return
+    prices = clean_history(read_history_csv(spark, [_literal_path(path) for path in chosen], year), year, cutoff)
     _store(prices.drop("filename"), prices.select("filename").distinct(), warehouse, source, load_id)
