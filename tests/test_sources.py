@@ -87,7 +87,8 @@ def test_long_archive_comes_in_batches(spark, tmp_path):
 
 def test_one_bad_value_costs_one_row(spark):
     rows = [("2024/01/01 00:05:00", "A", "1", "5", ""), ("2024/01/01 00:10:00", "A", "?", "5", ""),
-            ("soon", "A", "1", "5", ""), ("2024/01/01 00:15:00", "A", "3", "", ""), ("2024/01/01 00:20:00", "", "4", "5", "")]
+            ("soon", "A", "1", "5", ""), ("2024/01/01 00:15:00", "A", "3", "", ""),
+            ("2024/01/01 00:20:00", "", "4", "5", "")]
     raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in PRICE_COLUMNS))
     assert clean_prices(raw).count() == 1
     reasons = sorted(r.reason for r in rejected_prices(raw).collect())

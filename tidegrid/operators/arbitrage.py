@@ -8,28 +8,10 @@ from pyspark.sql import functions as F
 from tidegrid.functions.calendar import INTERVAL_MINUTES, day_type, minutes, season
 from tidegrid.functions.numeric import from_units, round_half_away, round_half_even
 from tidegrid.operators.groups import MAX_GROUP_ROWS
-from tidegrid.operators.windows import DAY, WINDOW_ROWS, rolling_forward
+from tidegrid.operators.windows import DAY, WINDOW_ROWS, best_windows
 from tidegrid.params import BatteryParams
 
 
-def _best_windows(prices: DataFrame, window_rows: int, volatility: bool, **options) -> DataFrame:
-    """Structs ``charge`` and ``discharge`` per region-day.
-
-    Minimum and maximum of a struct pick the cheapest and the dearest window in one partial and final
-    aggregate over the sort the windows already have; period breaks ties in favour of the earliest.
-    """
-    period = F.col("period_of_day")
-    carried = ["window_start", "window_price_volatility"] if volatility else ["window_start"]
-    return (
-        rolling_forward(prices, window_rows, volatility=volatility, **options)
-        .groupBy(*DAY)
-        .agg(
-            F.min(F.struct("window_units", period.alias("tie"), *carried)).alias("charge"),
-            F.max(F.struct("window_units", (-period).alias("tie"), *carried)).alias("discharge"),
-        )
-    )
-
-
 def _window_columns(side: str, window_rows: int) -> list[Column]:
     start = F.col(side)["window_start"]
     return [
@@ -48,10 +30,9 @@ def daily_arbitrage(
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Cheapest and dearest ``window_rows`` intervals of every region-day; days without a full window drop out."""
-    best = _best_windows(
+    best = best_windows(
         prices,
         window_rows,
-        False,
         strict_time=strict_time,
         trade_day_of=trade_day_of,
         max_group_rows=max_group_rows,
@@ -72,10 +53,10 @@ def annual_arbitrage(
     ``daily_price_volatility`` is the sample deviation of the two chosen window averages,
     ``|discharge - charge| / sqrt(2)``, and NULL when one window is both.
     """
-    best = _best_windows(
+    best = best_windows(
         prices,
         window_rows,
-        True,
+        volatility=True,
         strict_time=strict_time,
         trade_day_of=trade_day_of,
         max_group_rows=max_group_rows,

@@ -60,6 +60,37 @@ def rolling_forward(
     return _forward(dated, window_rows, complete_only, extremes, volatility, strict_time, max_group_rows, big)
 
 
+def framed_rows(
+    dated: DataFrame, window_rows: int, strict_time: bool, max_group_rows: int | None, big: DataFrame | None
+) -> tuple[DataFrame, list[str]]:
+    """All rows, numbered, with the sum of the complete window each of them starts; and the partition keys.
+
+    The sum is the difference of two running sums, ``lead`` over the same sort, which costs the same for any
+    window length. ``window_units`` is NULL on rows that start no complete window and on borrowed rows.
+    ``_number`` counts within the partition, ``_base`` is what precedes the partition in its day.
+    """
+    part = DAY
+    own = F.lit(True)
+    if big is None:
+        dated = dated.withColumn("_base", F.lit(0))
+    else:
+        part = [*DAY, "_chunk"]
+        own = ~F.col("_halo")
+        chunked = cut_groups(dated, DAY, _time_slots(), max_group_rows, big)
+        dated = lend_edges(chunked, DAY, ["_chunk"], TIME_ORDER, ["_units"], window_rows - 1, trailing=False)
+    rows = Window.partitionBy(*part).orderBy(*TIME_ORDER)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = window_rows - 1
+    framed = dated.withColumns(
+        {"_number": F.row_number().over(rows).cast("bigint"), "_running": F.sum("_units").over(so_far)}
+    ).withColumn("_reached", F.lead("_running", ahead).over(rows))
+    if strict_time:
+        last = F.lead("SETTLEMENTDATE", ahead).over(rows)
+        framed = framed.withColumn("_span", last - F.col("SETTLEMENTDATE"))
+        own = own & (F.col("_span") == minutes(INTERVAL_MINUTES * ahead))
+    return framed.withColumn("window_units", F.when(own, F.col("_reached") - F.col("_running") + F.col("_units"))), part
+
+
 def _forward(
     dated: DataFrame,
     window_rows: int,
@@ -70,64 +101,85 @@ def _forward(
     max_group_rows: int | None,
     big: DataFrame | None,
 ) -> DataFrame:
-    """Forward frames: the sum of a complete window is the difference of two running sums.
-
-    ``lead`` over the same sort costs the same for any window length; minimum, maximum and standard
-    deviation need the sliding frame and are only computed on request.
-    """
-    part = DAY
-    if big is not None:
-        part = [*DAY, "_chunk"]
-        chunked = cut_groups(dated, DAY, _time_slots(), max_group_rows, big)
-        dated = lend_edges(chunked, DAY, ["_chunk"], TIME_ORDER, ["_units"], window_rows - 1, trailing=False)
-    rows = Window.partitionBy(*part).orderBy(*TIME_ORDER)
-    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    frame = rows.rowsBetween(Window.currentRow, window_rows - 1)
-
-    columns = {
-        "_number": F.row_number().over(rows).cast("bigint"),
-        "_running": F.sum("_units").over(so_far),
-    }
+    """Forward frames; minimum, maximum and deviation need the sliding frame and are only made on request."""
+    framed, part = framed_rows(dated, window_rows, strict_time, max_group_rows, big)
+    frame = Window.partitionBy(*part).orderBy(*TIME_ORDER).rowsBetween(Window.currentRow, window_rows - 1)
+    columns = {"periods_in_window": F.lit(window_rows).cast("bigint")}
     if not complete_only:
-        columns["window_units"] = F.sum("_units").over(frame)
         columns["periods_in_window"] = F.count(F.lit(1)).over(frame)
+        columns["window_units"] = F.sum("_units").over(frame)
     if extremes:
         columns["window_min_price"] = F.min("RRP").over(frame)
         columns["window_max_price"] = F.max("RRP").over(frame)
     if volatility:
         columns["window_price_volatility"] = F.stddev_samp("RRP").over(frame)
-    framed = dated.withColumns(columns).withColumns(
-        {
-            "_reached": F.lead("_running", window_rows - 1).over(rows),
-            "_last": F.lead("SETTLEMENTDATE", window_rows - 1).over(rows),
-        }
-    )
-    if complete_only:
-        framed = (
-            framed.where(F.col("_reached").isNotNull())
-            .withColumn("window_units", F.col("_reached") - F.col("_running") + F.col("_units"))
-            .withColumn("periods_in_window", F.lit(window_rows).cast("bigint"))
-        )
-    if strict_time:
-        span = minutes(INTERVAL_MINUTES * (window_rows - 1))
-        framed = framed.where(F.col("_last") == F.col("SETTLEMENTDATE") + span)
-    period = F.col("_number")
-    if big is not None:
-        # Borrowed rows follow a chunk's own rows, so they do not disturb the numbering.
-        framed = framed.where(~F.col("_halo"))
-        period = period + F.col("_base")
-    kept = [c for c in ("window_min_price", "window_max_price", "window_price_volatility") if c in framed.columns]
-    return framed.select(
+    kept = framed.withColumn("_complete", F.col("window_units").isNotNull()).withColumns(columns)
+    if complete_only or strict_time:
+        kept = kept.where("_complete")
+    elif big is not None:
+        kept = kept.where(~F.col("_halo"))
+    asked = [c for c in ("window_min_price", "window_max_price", "window_price_volatility") if c in columns]
+    return kept.select(
         *DAY,
-        period.alias("period_of_day"),
+        (F.col("_number") + F.col("_base")).alias("period_of_day"),
         F.col("SETTLEMENTDATE").alias("window_start"),
         "window_units",
         from_units(F.col("window_units"), F.col("periods_in_window")).alias("window_avg_price"),
-        *kept,
+        *asked,
         "periods_in_window",
     )
 
 
+def best_windows(
+    prices: DataFrame,
+    window_rows: int = WINDOW_ROWS,
+    *,
+    volatility: bool = False,
+    strict_time: bool = False,
+    trade_day_of: str = "calendar",
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Structs ``charge`` and ``discharge`` of every region-day: the cheapest and the dearest window.
+
+    Minimum and maximum of a struct pick them in one partial and final aggregate over the sort the windows
+    already have; the period breaks ties in favour of the earliest. With ``volatility`` the winners are found
+    first, so that the deviation is taken over their rows only and not over every window of the day.
+    """
+    dated = _dated_units(prices, trade_day_of)
+    big = oversized_groups(dated, DAY, max_group_rows)
+    framed, part = framed_rows(dated, window_rows, strict_time, max_group_rows, big)
+    level, number, start = F.col("window_units"), F.col("_number"), F.col("SETTLEMENTDATE").alias("window_start")
+    period = number + F.col("_base")
+    low = F.struct(level, period.alias("tie"), start)
+    high = F.struct(level, (-period).alias("tie"), start)
+    if not volatility:
+        complete = framed.where(level.isNotNull())
+        return complete.groupBy(*DAY).agg(F.min(low).alias("charge"), F.max(high).alias("discharge"))
+
+    def deviation(side: str) -> Column:
+        first = F.abs(F.col(side)["tie"]) - F.col("_base")
+        inside = number.between(first, first + window_rows - 1)
+        return F.stddev_samp(F.when(inside, F.col("RRP"))).alias(f"{side}_volatility")
+
+    whole = Window.partitionBy(*part)
+    winners = (
+        framed.withColumns(
+            {
+                "low": F.min(F.when(level.isNotNull(), low)).over(whole),
+                "high": F.max(F.when(level.isNotNull(), high)).over(whole),
+                "_base": F.max("_base").over(whole),
+            }
+        )
+        .where(F.col("low").isNotNull())
+        .groupBy(*part)
+        .agg(F.max("low").alias("low"), F.max("high").alias("high"), deviation("low"), deviation("high"))
+    )
+    ends = [
+        F.struct(f"{side}.*", F.col(f"{side}_volatility").alias("window_price_volatility")) for side in ("low", "high")
+    ]
+    return winners.groupBy(*DAY).agg(F.min(ends[0]).alias("charge"), F.max(ends[1]).alias("discharge"))
+
+
 def rolling_trailing(
     prices: DataFrame,
     window_rows: int = WINDOW_ROWS,
