@@ -21,7 +21,7 @@ def spark(checkpoints):
     session = build_session(
         "tidegrid-tests",
         master="local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",

@@ -65,7 +65,7 @@ def test_stream_equals_batch_and_repeats_add_nothing(spark, landing, warehouse):
 
 
 def test_small_batches(spark, landing, warehouse):
-    run(spark, landing, warehouse, max_files_per_batch=1)
+    run(spark, landing, warehouse, max_files_per_batch=1, max_file_age="7d")
     check(spark, landing, warehouse)
     assert read_ledger(spark, warehouse.ledger).select("load_id").distinct().count() == 2
 

@@ -10,6 +10,7 @@ from tidegrid.params import BatteryParams
 from tidegrid.plans import reports
 from tidegrid.plans.catalog import order_prices
 from tidegrid.sinks.reports import write_report, write_report_pack
+from tidegrid.sinks.tables import read_summary, replace_table, write_summary
 
 
 def finance(spark, rows):
@@ -92,8 +93,7 @@ def test_empty_input_gives_empty_reports(spark, stored):
 
 
 def test_report_pack(spark, stored, tmp_path):
-    base = stored.select([c for c in stored.columns if c in annual_arbitrage(order_prices(spark, SF), 2).columns])
-    write_report_pack(base, str(tmp_path))
+    write_report_pack(annual_arbitrage(order_prices(spark, SF), 2), str(tmp_path))
     assert {p.name for p in tmp_path.iterdir()} >= {"annual_summary", "daily", "monthly", "seasonal", "best_days"}
     annual = spark.read.option("header", True).csv(str(tmp_path / "annual_summary"))
     assert {"Region", "Total_Profit_$", "Annual_ROI_%", "Payback_Period_Years"} <= set(annual.columns)
@@ -103,6 +103,22 @@ def test_report_pack(spark, stored, tmp_path):
     assert (tmp_path / "monthly" / "REGIONID=F").is_dir()
 
 
+def test_replaced_tables(spark, stored, tmp_path):
+    """A derived table is replaced as a whole; a summary only where its months occur again."""
+    for limit in (5, 3):
+        replace_table(spark.range(limit), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+    prices = order_prices(spark, SF)
+    write_summary(reports.price_summary(prices.where("year < 1999")), str(tmp_path / "s"))
+    before = read_summary(spark, str(tmp_path / "s")).count()
+    write_summary(reports.price_summary(prices.where("year = 1998 AND RRP > 0")), str(tmp_path / "s"))
+    after = read_summary(spark, str(tmp_path / "s"))
+    assert after.count() == before
+    assert after.where("year = 1998").agg(F.min("min_price")).first()[0] > 0
+    assert after.where("year = 1997").agg(F.min("min_price")).first()[0] < 0
+
+
 def test_single_file_csv(spark, tmp_path):
     write_report(spark.range(100).repartition(5), str(tmp_path / "r"), single_file=True, headings={"id": "a $/MWh %"})
     parts = list((tmp_path / "r").glob("*.csv"))
