@@ -51,8 +51,9 @@ def ledger_merge(ledger: DataFrame, files: DataFrame) -> DataFrame:
 def ledger_additions(ledger: DataFrame, files: DataFrame) -> DataFrame:
     """Ledger rows to append: one per new name, the earliest time when a name occurs more than once."""
     others = [c for c in ledger.columns if c not in ("filename", "processed_time")]
-    first = files.groupBy("filename").agg(
-        F.min(F.struct("processed_time", *others)).alias("entry")
-    )
-    entries = first.select("filename", "entry.*").select(*ledger.columns)
+    # Without further columns a plain minimum aggregates by hash; a struct has to be sorted first.
+    earliest = F.struct("processed_time", *others) if others else F.col("processed_time")
+    first = files.groupBy("filename").agg(F.min(earliest).alias("entry"))
+    entry = ["entry.*"] if others else [F.col("entry").alias("processed_time")]
+    entries = first.select("filename", *entry)
     return entries.join(ledger.select("filename"), "filename", "left_anti").select(*ledger.columns)
