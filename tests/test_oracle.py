@@ -5,8 +5,9 @@ from conftest import SF, SMALL_SF
 from oracle import connect, difference
 
 import __spark_entry__ as entry_module
+from tidegrid.plans import catalog
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= entry_module.queries().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)

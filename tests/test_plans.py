@@ -5,14 +5,14 @@ import re
 import pytest
 from conftest import SF
 
-import __spark_entry__ as entry_module
 from tidegrid.operators.arbitrage import daily_arbitrage
 from tidegrid.operators.groups import oversized_groups
 from tidegrid.operators.windows import DAY, rolling_trailing
+from tidegrid.plans import catalog
 from tidegrid.plans.catalog import event_prices, order_prices
 from tidegrid.functions.calendar import trade_day
 
-QUERIES = entry_module.queries()
+QUERIES = catalog.QUERIES
 
 # The one operator that runs Python on the workers.
 PYTHON_QUERIES = {"market_csv"}
