@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import written
+from tidegrid.llm.common import is_bucket, written
+from tidegrid.llm.decontaminate import contamination
+from tidegrid.llm.language import identify_languages, learn_languages
+from tidegrid.llm.licenses import scan_licenses
 from tidegrid.llm.mixing import mix_sources, with_size
 from tidegrid.llm.quality import quality_rules
+from tidegrid.llm.tokens import length_histogram, suffix_sums, with_token_count
 from tidegrid.llm.url_filter import filter_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +125,57 @@ FROM (SELECT *, CASE WHEN ord IS NOT NULL AND 2 * (reach - size) + size <= 2 * r
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = with_size(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return mix_sources(written(sized)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = is_bucket("doc_id", 4, 2)
+    model = learn_languages(docs.where(~held_out).select("text", "lang"))
+    judged = identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = with_token_count(_table(spark, sf_dir, "documents").select("text")).select("n_tokens")
+    return suffix_sums(written(length_histogram(counted)))
+
+
+@register("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("spans", "expressions")
+
+
+_HIT_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, row_number() OVER () AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i
+        FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT dw.id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.phrase = bw.phrase),
+covered AS (SELECT id, count(DISTINCT p) AS n_hit
+            FROM (SELECT DISTINCT id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY id),
+named AS (SELECT id, count(DISTINCT item_id) AS n_items,
+                 array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids
+          FROM hits GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (id) LEFT JOIN named USING (id)"""
+
+
+@register("op5_decontamination", _HIT_SQL)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.drop("text_key", "matches")
