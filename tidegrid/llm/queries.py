@@ -15,6 +15,7 @@ from tidegrid.llm.mixing import mix_sources, with_size
 from tidegrid.llm.quality import quality_rules
 from tidegrid.llm.tokens import length_histogram, suffix_sums, with_token_count
 from tidegrid.llm.url_filter import filter_urls, rule_table
+from tidegrid.llm.warc import archive_pages, read_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -179,3 +180,34 @@ FROM d LEFT JOIN covered USING (id) LEFT JOIN named USING (id)"""
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return judged.drop("text_key", "matches")
+
+
+_WARC_SQL = """
+WITH h AS (SELECT page_id, sha1(coalesce(html, '')) AS hex, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr(
+    '0000000100100011010001010110011110001001101010111100110111101111',
+    4 * (strpos('0123456789abcdef', substr(hex, i, 1)) - 1) + 1, 4)), '') AS b FROM h),
+d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(b, 5 * j + 1, 1) AS INTEGER) + 8 * CAST(substr(b, 5 * j + 2, 1) AS INTEGER)
+      + 4 * CAST(substr(b, 5 * j + 3, 1) AS INTEGER) + 2 * CAST(substr(b, 5 * j + 4, 1) AS INTEGER)
+      + CAST(substr(b, 5 * j + 5, 1) AS INTEGER), 1)), '') AS digest FROM bits),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS kept FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM m"""
+
+
+@register("op10_warc", _WARC_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = read_archives(archive_pages(_table(spark, sf_dir, "pages"))).where("is_last")
+    stored = F.col("record_type") == "response"
+    return ends.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.when(stored, F.col("bytes_so_far")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(stored, F.col("digest_so_far")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
