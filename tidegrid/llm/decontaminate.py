@@ -108,8 +108,9 @@ def phrase_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slac
         .groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
         .agg(F.collect_list(F.struct("item_id", "item_words", "need", "diagonal")).alias("hits"))
     )
+    # Hits grow with the documents: always a shuffle, so the plan is the same at every size.
     found = keyed.join(
-        hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left"
+        hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left"
     ).select("doc_id", "text_key", alnum_words(F.col("text")).alias("words"), "hits")
     none = F.array().cast(found.schema["hits"].dataType)
 
