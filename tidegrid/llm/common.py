@@ -75,11 +75,22 @@ def _root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, for results read by several branches."""
+    """``df`` written once as Parquet in the shared folder and read back, for results read by several branches.
+
+    The shuffle files of the write go when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.parquet(folder)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -109,3 +120,84 @@ def pieces(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Itera
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+_CHUNK = 1 << 20
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWER = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit over all others."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: np.uint64, count: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(count, base)]))
+
+
+_POWERS = {"up": _powers(_POWER, 0), "down": _powers(_INVERSE, 0)}
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space words of all rows, A-Z as a-z, and the offsets of rows in them.
+
+    Works through the bytes in stretches that end between words, so memory beside the hashes stays small.
+    """
+    fold = np.frombuffer(LOWER_BYTES, np.uint8)
+    hashes, starts_at = [], []
+    breaks = np.zeros(len(data) + 1, bool)
+    breaks[offsets] = True
+    begin = 0
+    while begin < len(data):
+        end = min(begin + _CHUNK, len(data))
+        while end < len(data):
+            gaps = np.flatnonzero(_IS_SPACE[data[begin:end]] | breaks[begin:end])
+            if len(gaps) and gaps[-1] > 0:
+                end = begin + gaps[-1]
+                break
+            end = min(end + _CHUNK, len(data))
+        part = fold[data[begin:end]]
+        inside = ~_IS_SPACE[part]
+        first = inside & np.concatenate([[True], ~inside[:-1] | breaks[begin + 1 : end]])
+        last = inside & np.concatenate([~inside[1:] | breaks[begin + 1 : end], [True]])
+        if len(_POWERS["up"]) <= len(part):
+            size = 1 << len(part).bit_length()
+            _POWERS["up"], _POWERS["down"] = _powers(_POWER, size), _powers(_INVERSE, size)
+        reached = np.cumsum(_BYTE_VALUES[part] * _POWERS["up"][: len(part)] * inside)
+        s, e = np.flatnonzero(first), np.flatnonzero(last)
+        before = np.where(s > 0, reached[s - 1], np.uint64(0))
+        hashes.append(mixed((reached[e] - before) * _POWERS["down"][s] + (e - s).astype(np.uint64)))
+        starts_at.append(s + begin)
+        begin = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> Iterator[np.ndarray]:
+    """For every row the sorted distinct hashes of its shingles of ``words`` words.
+
+    A row with fewer words has its whole sequence as the one shingle, a row without words none.
+    """
+    hashes, bounds = word_hashes(data, offsets)
+    factors = mixed(np.arange(1, words + 1, dtype=np.uint64) * _MIX[0]) | np.uint64(1)
+    count = max(0, len(hashes) - words + 1)
+    rolled = np.zeros(count, np.uint64)
+    for k in range(words):
+        rolled += hashes[k : k + count] * factors[k]
+    rolled = mixed(rolled)
+    for i in range(len(offsets) - 1):
+        first, last = bounds[i], bounds[i + 1]
+        if last - first >= words:
+            yield np.unique(rolled[first : last - words + 1])
+        elif last > first:
+            own = hashes[first:last]
+            yield mixed(np.array([(own * factors[: len(own)]).sum() + np.uint64(len(own))], np.uint64))
+        else:
+            yield np.empty(0, np.uint64)

@@ -12,6 +12,7 @@ from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.language import identify_languages, learn_languages
 from tidegrid.llm.licenses import scan_licenses
 from tidegrid.llm.mixing import mix_sources, with_size
+from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.quality import quality_rules
 from tidegrid.llm.tokens import length_histogram, suffix_sums, with_token_count
 from tidegrid.llm.url_filter import filter_urls, rule_table
@@ -211,3 +212,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+
+
+@register("op3_near_dedup")
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
