@@ -59,7 +59,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Da
     )
     words = (
         docs.select("doc_id", "text")
-        .join(trusted, F.col("doc_id") == F.col("_labelled"), "left")
+        # Always a shuffle: labels grow with the documents, so a broadcast would hold for small tables only.
+        .join(trusted.hint("merge"), F.col("doc_id") == F.col("_labelled"), "left")
         .select(space_words(F.col("text")).alias("_q_words"), F.col("_good").isNotNull().cast("bigint").alias("good"))
     )
     grams = _hashed(words).select(F.explode(F.concat("_q_h1", "_q_h2")).alias("gram"), "good")
