@@ -11,6 +11,7 @@ from tidegrid.llm.common import is_bucket, written
 from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.language import identify_languages, learn_languages
 from tidegrid.llm.licenses import scan_licenses
+from tidegrid.llm.lm_score import score_documents
 from tidegrid.llm.mixing import mix_sources, with_size
 from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.quality import quality_rules
@@ -217,3 +218,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@register("op1_lm_score")
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = is_bucket("doc_id", 5, 1)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("is_train"))
+    scored = score_documents(docs)
+    return scored.select(
+        "doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
