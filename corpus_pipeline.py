@@ -11,10 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import written
+from tidegrid.llm.common import text_or_empty, written
+from tidegrid.llm.decontaminate import contamination
+from tidegrid.llm.language import UNDETERMINED, identify_languages, learn_languages
 from tidegrid.llm.mixing import mix_sources, with_size
+from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.quality import quality_rules
 
+#: A document whose predicted language has a smaller share of the n-gram hits is rejected.
+LEAST_LANGUAGE_SCORE = 0.35
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
@@ -22,6 +28,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(*docs.columns)
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; the filters learn from the text and ``lang`` of the rows the stage is given."""
+    judged = identify_languages(docs, learn_languages(docs))
+    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return judged.where(kept).select(*docs.columns)
+
+
+def _text_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_text_key", F.xxhash64(text_or_empty(F.col("text"))))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every near-duplicate group."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    return _text_key(docs).join(kept.distinct().hint("merge"), same, "left_semi").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without contamination by ``benchmark``."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    return _text_key(docs).join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: every document taken, with the number of ``copies`` and the words ``taken``."""
     return mix_sources(with_size(docs)).where("copies > 0")
@@ -31,6 +63,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
+    ("language_id", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("mixing", mixing),
 ]
 
