@@ -94,6 +94,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def fenced(df: DataFrame, flag: str) -> DataFrame:
+    """``df`` with ``flag`` tied to a row number, so that a filter on it is not pushed below the columns of ``df``.
+
+    Pushed down, the filter would evaluate again, and inside every lambda, what the columns were computed from once.
+    """
+    numbered = df.withColumn("_fence", F.monotonically_increasing_id())
+    return numbered.withColumn(flag, F.col(flag) & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def is_bucket(key: str, buckets: int, bucket: int) -> Column:
     """crc32 of the key as text, modulo ``buckets``, equals ``bucket``; a NULL key counts as empty text."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import alnum_words, text_or_empty, written
+from tidegrid.llm.common import alnum_words, fenced, text_or_empty, written
 
 WINDOW = 13
 
@@ -149,7 +149,7 @@ def contamination(
     ids = F.array_sort(
         F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item_id"].cast("string"))))
     )
-    return (
+    judged = (
         matches.withColumns({"_spans": spans, "_ids": ids})
         .select(
             "doc_id",
@@ -162,3 +162,4 @@ def contamination(
         )
         .withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= least_percent * F.col("n_words")))
     )
+    return fenced(judged, "contaminated")

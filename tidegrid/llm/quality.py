@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import SPACES, space_words, text_or_empty
+from tidegrid.llm.common import SPACES, fenced, space_words, text_or_empty
 
 BUCKETS = 1 << 16
 UNITS = 1_000_000
@@ -171,13 +171,12 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
-    return (
+    judged = (
         measured.withColumn("n_repeat_words", _covered(F.col("_q_starts")))
         .withColumn("_q_table", table)
         .withColumn("_q_gain", gain)
-        .withColumns(
-            {"score": F.coalesce(F.col("_q_gain") / grams / UNITS, F.lit(0.0)), "base_failed": failed}
-        )
+        .withColumns({"score": F.coalesce(F.col("_q_gain") / grams / UNITS, F.lit(0.0)), "base_failed": failed})
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
         .select(*base.columns, *added)
     )
+    return fenced(judged, "kept")
