@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import SPACES, fenced, space_words, text_or_empty
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 UNITS = 1_000_000
+#: Counts added to every bucket of either multinomial.
+SMOOTHING = 1.0
 #: A document is kept from this mean log ratio (natural logarithm) on.
-THRESHOLD = -0.14
+THRESHOLD = -0.055
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -45,7 +47,9 @@ def _positions(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def log_ratios(
+    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
+) -> DataFrame:
     """One row with the array ``ratios``: of every bucket, in 1e-6 units, from counts over all documents.
 
     The target are documents that ``labels`` (``doc_id, quality, toxic``) calls good and not toxic. Of several labels
@@ -78,8 +82,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Da
     )
 
     def ratio(x: Column) -> Column:
-        trusted_log = F.log((x["good"] + 1) / (F.col("good") + buckets))
-        return F.rint((trusted_log - F.log((x["raw"] + 1) / (F.col("raw") + buckets))) * UNITS).cast("bigint")
+        trusted_log = F.log((x["good"] + smoothing) / (F.col("good") + smoothing * buckets))
+        raw_log = F.log((x["raw"] + smoothing) / (F.col("raw") + smoothing * buckets))
+        return F.rint((trusted_log - raw_log) * UNITS).cast("bigint")
 
     neutral = F.transform("counts", lambda x: F.lit(0).cast("bigint"))
     return one.select(F.when(F.col("good") > 0, F.transform("counts", ratio)).otherwise(neutral).alias("ratios"))
@@ -141,6 +146,7 @@ def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
     buckets: int = BUCKETS,
+    smoothing: float = SMOOTHING,
     threshold: float = THRESHOLD,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
@@ -151,7 +157,7 @@ def quality_rules(
     without a label are part of the raw corpus only. Repeated rows are judged alike, an empty table gives no rows,
     and columns named like an added one are replaced.
     """
-    table = log_ratios(docs, labels, buckets).scalar()
+    table = log_ratios(docs, labels, buckets, smoothing).scalar()
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     base = docs.drop(*[c for c in docs.columns if c in added or c.startswith("_q_")])
     w, mask = F.col("_q_words"), F.col("_q_mask")
