@@ -129,7 +129,7 @@ class _Archive:
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
         system, local = fs.FileSystem.from_uri(self.path)
         system.create_dir(local.rpartition("/")[0], recursive=True)
-        self.out = system.open_output_stream(local)
+        self.out = system.open_output_stream(local, compression=None)
         self.records, self.payload_bytes, self.member, self.digest = 0, 0, None, None
 
     def start(self, row: dict) -> None:
@@ -213,7 +213,7 @@ def _lines(stream: io.BufferedReader) -> Iterator[str]:
 def _records(path: str, chunk_bytes: int) -> Iterator[dict]:
     """Chunk rows of an archive; a record without payload has one row with an empty chunk."""
     system, local = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(local) as raw, gzip.GzipFile(fileobj=raw) as unpacked:
+    with system.open_input_stream(local, compression=None) as raw, gzip.GzipFile(fileobj=raw) as unpacked:
         stream = io.BufferedReader(unpacked, 1 << 16)
         while version := stream.readline():
             if not version.strip():
