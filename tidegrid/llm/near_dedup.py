@@ -38,7 +38,7 @@ RATE = 20.0
 MARGIN = 4.5
 SMALL = 24
 HUBS = 3
-LEVELS = 4
+LEVELS = 2
 #: Further bands that split a large bucket.
 SPLITS = 8
 
@@ -137,7 +137,7 @@ def _pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Distinct candidate pairs ``a < b`` of bucket rows ``cls, key, members``; within a component none is needed."""
     rows = buckets
     if labels is not None:
-        rows = rows.join(_large(labels), "cls", "left")
+        rows = rows.join(labels, "cls", "left")
     comp = F.coalesce("comp", "cls") if labels is not None else F.col("cls")
     rows = rows.withColumn("comp", comp)
     small = (
@@ -156,14 +156,14 @@ def _pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     hot = rows.where(F.col("members") > SMALL)
     # A member is central when many of its buckets are large: it has the registers that most others share.
     central = hot.groupBy("cls").agg(F.sum(F.log("members")).alias("central"))
-    ranked = hot.join(_large(central), "cls")
+    ranked = hot.join(central, "cls")
     salted = [F.xxhash64("cls", "key", F.lit(i)) for i in range(HUBS - 1)]
     member = F.struct("cls", "comp")
     hubs = ranked.groupBy("key").agg(
         F.array(F.max_by(member, F.struct("central", "cls")), *[F.min_by(member, s) for s in salted]).alias("hubs")
     )
     starred = (
-        hot.join(_large(hubs), "key")
+        hot.join(hubs, "key")
         .select("cls", "comp", F.explode(F.array_distinct("hubs")).alias("hub"))
         .where((F.col("comp") != F.col("hub.comp")) & (F.col("cls") != F.col("hub.cls")))
         .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
@@ -233,47 +233,52 @@ def connect(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``cls, comp`` of all classes in ``links`` (``a, b``) or ``labels``; ``comp`` is the smallest class of a component.
 
     Every round hooks each component to its smallest smaller neighbour and shortens the chains; the edges between
-    components shrink until none is left.
+    components shrink until none is left. The rounds work on edges and hooks alone, the labels are renamed at the end.
     """
-    nodes = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    own = nodes.select("cls", F.col("cls").alias("comp"))
-    if labels is not None:
-        own = labels.unionByName(own.join(_large(labels.select("cls")), "cls", "left_anti"))
-    labels = written(own)
+    own = links.select(F.explode(F.array("a", "b")).alias("cls")).select("cls", F.col("cls").alias("comp"))
+    known = own if labels is None else labels.unionByName(own)
+    known = known.groupBy("cls").agg(F.min("comp").alias("comp"))
     edges = links.select("a", "b")
+    if labels is not None:
+        edges = _renamed(edges, labels.select(F.col("cls").alias("from"), F.col("comp").alias("to")))
+    rounds = []
     while True:
-        ends = labels.select(F.col("cls").alias("_cls"), F.col("comp").alias("_comp"))
-        for side in "ab":
-            edges = edges.join(_large(ends), F.col(side) == F.col("_cls")).drop(side, "_cls")
-            edges = edges.withColumnRenamed("_comp", side)
         edges = written(
             edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
         if edges.isEmpty():
-            return labels
+            break
         hooks = edges.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
         for _ in range(2):
-            hooks = written(hooks)
             further = hooks.select(F.col("from").alias("to"), F.col("to").alias("next"))
-            hooks = hooks.join(_large(further), "to", "left").select("from", F.coalesce("next", "to").alias("to"))
-        hooks = hooks.select(F.col("from").alias("comp"), "to")
-        labels = written(
-            labels.join(_large(hooks), "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp"))
-        )
+            hooks = written(hooks.join(further, "to", "left").select("from", F.coalesce("next", "to").alias("to")))
+        rounds.append(hooks)
+        edges = _renamed(edges, hooks)
+    for hooks in rounds:
+        renamed = F.coalesce("to", "comp").alias("comp")
+        known = known.join(hooks, F.col("comp") == F.col("from"), "left").select("cls", renamed)
+    return written(known)
+
+
+def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges with every end that ``names`` (``from, to``) has renamed."""
+    for side in "ab":
+        other = "b" if side == "a" else "a"
+        joined = edges.join(names, F.col(side) == F.col("from"), "left")
+        edges = joined.select(other, F.coalesce("to", side).alias(side))
+    return edges
 
 
-def _open(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose classes are not yet connected."""
-    if labels is None:
-        return pairs
     for side in "ab":
         named = labels.select(F.col("cls").alias(side), F.col("comp").alias(f"comp_{side}"))
-        pairs = pairs.join(_large(named), side, "left")
+        pairs = pairs.join(named, side, "left")
     apart = F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")
-    return pairs.where(apart).select("a", "b", "similarity")
+    return pairs.where(apart).select("a", "b")
 
 
-def _link(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+def _link(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Labels after verifying ``pairs``: first each class's most similar partner, then what is still apart."""
     both = F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("two")),
                              F.struct(F.col("b").alias("one"), F.col("a").alias("two")))).alias("p")
@@ -285,12 +290,8 @@ def _link(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataF
         .distinct()
     )
     first = written(best)
-    links = written(_verified(first, texts).select("a", "b"))
-    labels = connect(links, labels)
-    left = pairs.join(_large(first), ["a", "b"], "left_anti")
-    rest = written(_open(left, labels))
-    if rest.isEmpty():
-        return labels
+    labels = connect(written(_verified(first, texts).select("a", "b")))
+    rest = written(_open(pairs.join(first, ["a", "b"], "left_anti"), labels))
     return connect(written(_verified(rest, texts).select("a", "b")), labels)
 
 
@@ -321,18 +322,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     buckets = written(_shared(_bands(classes)))
     pairs = written(_estimated(_pairs(buckets, None), classes))
-    labels = None
-    level, found = 1, pairs
     texts = _texts(keyed, classes, buckets)
-    while True:
-        labels = _link(found, texts, labels)
+    labels = _link(pairs, texts)
+    for _ in range(LEVELS - 1):
         buckets = _split(buckets, labels, classes)
-        if level == LEVELS or buckets.isEmpty():
-            break
-        level += 1
         found = written(_estimated(_pairs(buckets, labels), classes))
+        if not found.isEmpty():
+            labels = connect(written(_verified(found, texts).select("a", "b")), labels)
+        elif buckets.isEmpty():
+            break
     named = sketched.select("doc_id", "text_key", "n_shingles", F.when(F.col("digest").isNotNull(), cls).alias("cls"))
-    placed = named.join(_large(labels), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    placed = named.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component"))
     joined = placed.join(_large(smallest), "comp", "left")
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
@@ -356,10 +356,10 @@ def _texts(keyed: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFram
 
 def _split(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Buckets of the next level: large ones with several components, divided by each of the next ``SPLITS`` bands."""
-    hot = buckets.where(F.col("members") > SMALL).join(_large(labels), "cls", "left")
+    hot = buckets.where(F.col("members") > SMALL).join(labels, "cls", "left")
     comp = F.coalesce("comp", "cls")
     mixed = hot.groupBy("key").agg(F.min(comp).alias("low"), F.max(comp).alias("high")).where("low < high")
-    rows = hot.select("cls", "band", "key").join(_large(mixed.select("key")), "key", "left_semi")
+    rows = hot.select("cls", "band", "key").join(mixed.select("key"), "key", "left_semi")
     steps = rows.select("cls", "key", "band", F.explode(F.sequence(F.lit(1), F.lit(SPLITS))).alias("step")).select(
         "cls", "key", F.pmod(F.col("band") + F.col("step"), F.lit(BANDS)).alias("band")
     )
