@@ -82,3 +82,13 @@ def test_sums_do_not_depend_on_order(spark):
     means = {rows.repartition(n).agg(num.exact_mean("RRP")).first()[0] for n in (1, 3, 7)}
     assert means == {199.95}
     assert rows.where("RRP > 1e6").agg(num.exact_mean("RRP")).first()[0] is None
+
+
+def test_sums_beyond_whole_units_and_any_finite_number(spark):
+    """A unit total above 9.2e18 has the right mean; numbers of any notation and length are read."""
+    big = spark.range(20).select(F.lit(9.0e11).alias("RRP"))
+    assert big.agg(num.exact_mean("RRP")).first()[0] == 9.0e11
+    texts = ["1e005", "1.5E+003", "1" * 100, "0" * 200 + "7.25", "1e999", "nan"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in frame.select(num.parse_number("t")).collect()]
+    assert got == [100000.0, 1500.0, float("1" * 100), 7.25, None, None]

@@ -97,7 +97,7 @@ def test_report_pack(spark, stored, tmp_path):
     assert {p.name for p in tmp_path.iterdir()} >= {"annual_summary", "daily", "monthly", "seasonal", "best_days"}
     annual = spark.read.option("header", True).csv(str(tmp_path / "annual_summary"))
     assert {"Region", "Total_Profit_$", "Annual_ROI_%", "Payback_Period_Years"} <= set(annual.columns)
-    assert annual.count() == 3
+    assert annual.count() == stored.select("REGIONID", F.year("trade_date")).distinct().count() and "Year" in annual.columns
     daily = spark.read.option("header", True).csv(str(tmp_path / "daily"))
     assert daily.count() == stored.count() and "REGIONID" in daily.columns
     assert (tmp_path / "monthly" / "REGIONID=F").is_dir()
@@ -123,3 +123,16 @@ def test_single_file_csv(spark, tmp_path):
     write_report(spark.range(100).repartition(5), str(tmp_path / "r"), single_file=True, headings={"id": "a $/MWh %"})
     parts = list((tmp_path / "r").glob("*.csv"))
     assert len(parts) == 1 and parts[0].read_text().splitlines()[0] == "a $/MWh %"
+
+
+def test_years_are_reported_apart(make_prices, grid):
+    """Two years of equal days give two rows that each carry one year's operating cost."""
+    days = [f"{y}-01-0{d} 00:05" for y in (2023, 2024) for d in (1, 2)]
+    prices = make_prices([r for d in days for r in grid(d, "R", [10] * 4 + [100] * 4)])
+    table = with_finance(annual_arbitrage(prices, 4))
+    annual = reports.annual_summary(table).collect()
+    assert sorted(r.year for r in annual) == [2023, 2024] and {r.total_days for r in annual} == {2}
+    assert len({r.annual_roi_percent for r in annual}) == 1
+    for summary in (reports.monthly_summary(table), reports.seasonal_summary(table), reports.best_days(table)):
+        assert summary.count() == 2
+    assert sorted(r.year for r in reports.key_insights(reports.annual_summary(table)).collect()) == [2023, 2024]

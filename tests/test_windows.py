@@ -222,3 +222,12 @@ def test_extremes_flag_a_single_row_once(make_prices):
     flags = [(r.SETTLEMENTDATE.month, r.is_month_low, r.is_month_high) for r in found]
     assert flags == [(1, True, True), (2, True, True)]
     assert found[1].SETTLEMENTDATE == datetime(2024, 2, 1, 0, 5)
+
+
+def test_rows_of_one_stamp_are_told_apart(make_prices):
+    """The lowest and the highest average may stand on one stamp, and so may the two best windows."""
+    rows = [("2024-01-01 00:05", "R", 1.0), ("2024-01-01 00:05", "R", 9.0)]
+    ends = monthly_extremes(make_prices(rows), 1).collect()
+    assert sorted((r.avg_rrp_2hr, r.is_month_low, r.is_month_high) for r in ends) == [(1.0, True, False), (9.0, False, True)]
+    day = annual_arbitrage(make_prices(rows), 1).first()
+    assert day.daily_price_volatility == pytest.approx(round(8 / 2**0.5, 2))

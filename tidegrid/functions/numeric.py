@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 UNITS_PER_PRICE = 100_000
 
-# Decimal notation only, short enough never to overflow to infinity.
-_PLAIN_NUMBER = r"^\s*[+-]?(\d{1,99}(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?\s*$"
+# Decimal notation only, of any length.
+_PLAIN_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+
+# Prices from here on do not fit the exact type and are rejected when rows are cleaned.
+PRICE_LIMIT = 1e12
 
 
 def price_units(price: Column | str) -> Column:
     """Price in whole 1e-5 $/MWh units."""
     exact = F.col(price) if isinstance(price, str) else price
-    return (exact.cast("decimal(18,5)") * UNITS_PER_PRICE).cast("bigint")
+    return (exact.try_cast("decimal(18,5)") * UNITS_PER_PRICE).cast("bigint")
 
 
 def from_units(units: Column, rows: Column | int = 1) -> Column:
@@ -28,9 +31,12 @@ def from_units(units: Column, rows: Column | int = 1) -> Column:
 
 
 def exact_mean(price: Column | str) -> Column:
-    """Aggregate: mean price from exact unit sums; NULL prices are skipped."""
-    units = price_units(price)
-    return from_units(F.sum(units), F.nullif(F.count(units), F.lit(0)))
+    """Aggregate: mean price from an exact sum; NULL prices are skipped.
+
+    The sum has 28 digits, room for 1e18 rows of five-digit prices.
+    """
+    exact = (F.col(price) if isinstance(price, str) else price).try_cast("decimal(18,5)")
+    return F.sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0)).cast("double")
 
 
 def money_sum(amount: Column | str) -> Column:
@@ -59,7 +65,7 @@ def round_half_even(value: Column, digits: int) -> Column:
 
 def parse_number(text: Column | str) -> Column:
     """Finite number in ``text`` as DOUBLE, else NULL."""
-    return F.regexp_extract(text, _PLAIN_NUMBER, 0).try_cast("double")
+    return finite(F.regexp_extract(text, _PLAIN_NUMBER, 0).try_cast("double"))
 
 
 def parse_small_int(text: Column | str) -> Column:

@@ -63,10 +63,12 @@ def annual_arbitrage(
     )
     charge, discharge = F.col("charge"), F.col("discharge")
     gap = F.abs(from_units(discharge["window_units"] - charge["window_units"], window_rows))
-    spread = F.when(charge["window_start"] != discharge["window_start"], gap / F.sqrt(F.lit(2.0)))
+    # The tie breakers are the window's period and its negative.
+    spread = F.when(charge["tie"] != -discharge["tie"], gap / F.sqrt(F.lit(2.0)))
     month = F.month("trade_date")
     return best.select(
         *DAY,
+        F.year("trade_date").alias("year"),
         month.alias("month"),
         F.quarter("trade_date").alias("quarter"),
         season(month).alias("season"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import parse_timestamp
-from tidegrid.functions.numeric import finite, parse_number, parse_small_int
+from tidegrid.functions.numeric import PRICE_LIMIT, finite, parse_number, parse_small_int
 from tidegrid.schema import PRICE_COLUMNS
 
 
@@ -46,6 +46,7 @@ def _typed(raw: DataFrame) -> DataFrame:
         F.when(F.col("SETTLEMENTDATE").isNull(), "bad date")
         .when(F.col("REGIONID").isNull(), "no region")
         .when(F.col("RRP").isNull(), "bad price")
+        .when(F.abs("RRP") >= PRICE_LIMIT, "price out of range")
         .when(F.col("PERIODID").isNull(), "bad period")
     )
     return typed.withColumn("reason", reason)

@@ -273,7 +273,7 @@ def monthly_extremes(
         F.max(F.struct("avg_rrp_2hr", "_back", *value)).alias("high"),
     )
     low, high = F.col("low"), F.col("high")
-    same = low["at"] == high["at"]
+    same = (low["at"] == high["at"]) & (low["avg"] == high["avg"])
     picks = F.array_compact(
         F.array(
             F.struct(low["at"].alias("at"), low["avg"].alias("avg"), F.lit(True).alias("lo"), same.alias("hi")),

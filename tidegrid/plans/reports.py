@@ -47,6 +47,10 @@ def monthly_coverage(prices: DataFrame, year: int) -> DataFrame:
     )
 
 
+def _year() -> Column:
+    return F.year("trade_date").alias("year")
+
+
 def _count_true(flag: str) -> Column:
     return F.count_if(F.col(flag))
 
@@ -73,9 +77,9 @@ def _rate(part: str) -> Column:
 
 
 def monthly_summary(daily: DataFrame) -> DataFrame:
-    """Profit, spread, price and success measures by region and calendar month."""
+    """Profit, spread, price and success measures by region, year and month."""
     return (
-        daily.groupBy("REGIONID", "month")
+        daily.groupBy("REGIONID", _year(), "month")
         .agg(*_daily_measures(), _count_true("meets_threshold").alias("meets_threshold_sum"))
         .withColumns(
             {
@@ -88,21 +92,21 @@ def monthly_summary(daily: DataFrame) -> DataFrame:
 
 
 def seasonal_summary(daily: DataFrame) -> DataFrame:
-    """Profit, spread, price and success measures by region and season."""
+    """Profit, spread, price and success measures by region, year and season."""
     return (
-        daily.groupBy("REGIONID", "season")
+        daily.groupBy("REGIONID", _year(), "season")
         .agg(*_daily_measures())
         .withColumn("success_rate_percent", _rate("is_profitable_sum"))
     )
 
 
 def annual_summary(daily: DataFrame, params: BatteryParams = BatteryParams()) -> DataFrame:
-    """Totals, rates, return and payback by region; payback is infinite when costs are not covered."""
+    """Totals, rates, return and payback by region and year; payback is infinite when costs are not covered."""
     total = F.coalesce(money_sum("daily_profit"), F.lit(0.0))
     profitable = _count_true("is_profitable")
     net = total - params.annual_opex
     payback = F.when(net > 0, params.capex / net).otherwise(F.lit(float("inf")))
-    return daily.groupBy("REGIONID").agg(
+    return daily.groupBy("REGIONID", _year()).agg(
         F.count(F.lit(1)).alias("total_days"),
         round_half_even(total, 2).alias("total_profit"),
         round_half_even(money_mean("daily_profit"), 2).alias("average_daily_profit"),
@@ -120,6 +124,7 @@ def annual_summary(daily: DataFrame, params: BatteryParams = BatteryParams()) ->
 # Column headings of the exported annual summary.
 ANNUAL_SUMMARY_HEADINGS = {
     "REGIONID": "Region",
+    "year": "Year",
     "total_days": "Total_Days",
     "total_profit": "Total_Profit_$",
     "average_daily_profit": "Average_Daily_Profit_$",
@@ -135,12 +140,12 @@ ANNUAL_SUMMARY_HEADINGS = {
 
 
 def best_days(daily: DataFrame) -> DataFrame:
-    """The day with the highest profit of each region, the earliest on ties."""
+    """The day with the highest profit of each region and year, the earliest on ties."""
     columns = daily.columns
     rank = F.struct(F.col("daily_profit"), (-F.unix_date(F.to_date("trade_date"))).alias("earliest"))
     return (
         daily.where(F.col("daily_profit").isNotNull())
-        .groupBy("REGIONID")
+        .groupBy("REGIONID", F.year("trade_date"))
         .agg(F.max_by(F.struct(*columns), rank).alias("best"))
         .select(*[F.col("best")[c].alias(c) for c in columns])
     )
@@ -188,12 +193,12 @@ def display_days(daily: DataFrame) -> DataFrame:
 
 
 def key_insights(annual: DataFrame) -> DataFrame:
-    """Totals over all regions and the best region by profit and by return; first region name on ties."""
+    """By year, totals over all regions and the best region by profit and by return; first region name on ties."""
     roi, profit, region = F.col("annual_roi_percent"), F.col("total_profit"), F.col("REGIONID")
     # min of (negated value, name): highest value first, then the first name.
     by_profit = F.min(F.struct((-profit).alias("order"), region.alias("name"), profit.alias("value")))
     by_roi = F.min(F.when(roi > 0, F.struct((-roi).alias("order"), region.alias("name"), roi.alias("value"))))
-    return annual.agg(
+    return annual.groupBy("year").agg(
         money_sum(profit).alias("total_profit_all_regions"),
         by_profit["name"].alias("best_region"),
         by_profit["value"].alias("best_region_profit"),
@@ -206,9 +211,9 @@ def key_insights(annual: DataFrame) -> DataFrame:
 
 
 def period_summary(report: DataFrame) -> DataFrame:
-    """Days, total, mean, best, worst and profitable days of a daily report by region."""
+    """Days, total, mean, best, worst and profitable days of a daily report by region and year."""
     profit = F.col("daily_profit")
-    return report.groupBy("REGIONID").agg(
+    return report.groupBy("REGIONID", _year()).agg(
         F.count(F.lit(1)).alias("days"),
         F.coalesce(money_sum(profit), F.lit(0.0)).alias("total_profit"),
         money_mean(profit).alias("average_daily_profit"),

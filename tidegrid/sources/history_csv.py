@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegrid.functions.calendar import parse_timestamp, period_id
 from tidegrid.functions.numeric import parse_number
@@ -19,40 +18,45 @@ from tidegrid.schema import PRICE_COLUMNS
 # Headings a historical file must have.
 REQUIRED = ("REGION", "SETTLEMENTDATE", "RRP")
 
-# Headings of up to this many files are a few megabytes, safe to broadcast.
-MAX_BROADCAST_FILES = 20_000
+# A comma outside double quotes: an even number of quotes follows it.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def read_history_csv(
-    spark: SparkSession, paths: str | Sequence[str], year: int, max_columns: int = 64
-) -> DataFrame:
+def _cells(line: str) -> Column:
+    """Fields of a CSV line of any width, without the quotes around them; empty ones are NULL."""
+    bare = F.when(F.col(line).contains('"'), F.split(line, _COMMA, -1)).otherwise(F.split(line, ",", -1))
+
+    def field(text: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_extract(text, r'^"((?s).*)"$', 1), '""', '"')
+        return F.nullif(F.when(text.startswith('"'), inner).otherwise(text), F.lit(""))
+
+    return F.transform(bare, field)
+
+
+def read_history_csv(spark: SparkSession, paths: str | Sequence[str], year: int) -> DataFrame:
     """Text rows ``filename, REGION, SETTLEMENTDATE, RRP`` of the CSV files with ``year`` in their name.
 
     ``paths`` is a folder or a list of files.
 
-    Columns are found by the heading of each file, so files may order them differently; a file that lacks
-    a required heading contributes nothing, and one with ``max_columns`` or more columns raises. One scan
-    reads the values, a second one only finds the headings, which a file holds in its first block.
+    Columns are found by the heading of each file, so files may order them differently and have any number of
+    them; a file that lacks a required heading contributes nothing. One scan reads the values, a second one only
+    finds the headings, which a file holds in its first block.
     """
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    files = spark.read.schema(wide).option("pathGlobFilter", f"*{year}*.csv").csv(paths if isinstance(paths, str) else list(paths))
-    cells = files.select(
+    lines = spark.read.option("pathGlobFilter", f"*{year}*.csv").text(paths if isinstance(paths, str) else list(paths))
+    cells = lines.select(
         F.col("_metadata.file_path").alias("path"),
         percent_decoded(F.col("_metadata.file_name")).alias("filename"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.array(*wide.names).alias("cells"),
+        _cells("value").alias("cells"),
     )
     found = F.struct(*[F.array_position("cells", F.lit(name)).alias(name) for name in REQUIRED])
-    too_wide = F.raise_error(F.concat(F.lit("raise max_columns to read "), F.col("path")))
     headings = (
         cells.where(F.col("block") == 0)
         .where(" AND ".join(f"array_contains(cells, '{name}')" for name in REQUIRED))
-        .select("path", F.when(F.element_at("cells", -1).isNotNull(), too_wide).otherwise(found).alias("at"))
+        .select("path", found.alias("at"))
         .groupBy("path")
         .agg(F.min("at").alias("at"))
     )
-    if len(files.inputFiles()) <= MAX_BROADCAST_FILES:
-        headings = F.broadcast(headings)
     values = [F.get("cells", (F.col(f"at.{name}") - 1).cast("int")).alias(name) for name in REQUIRED]
     return cells.join(headings, "path").select("filename", *values).where(F.col("REGION") != REQUIRED[0])
 
