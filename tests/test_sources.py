@@ -245,3 +245,17 @@ def test_history_files_of_any_width(spark, tmp_path, width):
     (tmp_path / "PRICE_2024.csv").write_text("\n".join(",".join(row) for row in (names, cells)) + "\n")
     got = read_history_csv(spark, str(tmp_path), 2024).collect()
     assert [tuple(r) for r in got] == [("PRICE_2024.csv", "R", "2024/01/01 00:05:00", "5.5")]
+
+
+@pytest.mark.parametrize("html, links", [
+    ('<a title="a>b" href="x.zip">', ["x.zip"]),
+    ("<a class='q' href=y&#46;zip id=1>", ["y.zip"]),
+    ('<a href="&#x79;&#x2E;zip">', ["y.zip"]),
+    ('<a data-x="href=1.zip" href="2.zip"><a name="n"><a\nHREF = \'3.zip\'>', ["2.zip", "3.zip"]),
+    ('<a href="a&amp;#46;.zip"><a href="&#0;&#99999999;.zip">', ["a&#46;.zip", "&#0;&#99999999;.zip"]),
+    ('<abbr href="no.zip"><a data-href="no.zip">', []),
+    ('<a href="é&#233;&#128512;.zip">', ["éé😀.zip"]),
+])
+def test_links_by_hand(spark, html, links):
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [r.link for r in link_manifest(pages).collect()] == links

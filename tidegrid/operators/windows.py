@@ -26,7 +26,7 @@ def period_of_day(
     """Number the intervals of each region-day 1, 2, .. in time order."""
     dated = prices.withColumn("trade_date", trade_day("SETTLEMENTDATE", trade_day_of))
     big = oversized_groups(dated, DAY, max_group_rows)
-    order = [F.col(c) for c in TIME_ORDER]
+    order = [F.col(c).asc_nulls_last() for c in TIME_ORDER]
     return number_rows(dated, DAY, order, _time_slots(), "period_of_day", max_group_rows, big)
 
 

@@ -32,9 +32,13 @@ def write_prices(
         files.mode("overwrite").parquet(f"{root}/load_id={load_id}")
 
 
-def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """The ledger of loaded files, created empty on first use."""
+def create_ledger(spark: SparkSession, root: str) -> None:
+    """An empty ledger where there is none."""
     spark.createDataFrame([], LEDGER).write.mode("ignore").partitionBy("load_id").parquet(root)
+
+
+def read_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """The ledger of loaded files; :func:`create_ledger` makes it."""
     return spark.read.schema(LEDGER).parquet(root).select(*LEDGER.names)
 
 

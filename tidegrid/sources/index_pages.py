@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Text that is not markup: comments, scripts and styles.
 NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
-# The href value of an anchor tag, with its quotes if it has any.
-ANCHOR_HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# The href value of an anchor tag, with its quotes if it has any; quoted values of other attributes are skipped whole.
+ANCHOR_HREF = r"""(?i)<a\s(?:[^>"']*(?:"[^"]*"|'[^']*'))*?[^>"']*?(?<=\s)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 # The character references that occur in link text.
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -23,11 +23,26 @@ def page_links(html: Column) -> Column:
 
 def _plain(value: Column) -> Column:
     text = F.regexp_replace(value, r"""^["']|["']$""", "")
+    text = F.array_join(F.transform(F.split(text, _AROUND_NUMBERS), _character), "")
     for reference, character in REFERENCES.items():
         text = F.replace(text, F.lit(reference), F.lit(character))
     return text
 
 
+# Between a numeric character reference and the text around it.
+_AROUND_NUMBERS = r"(?=&#(?:[0-9]+|[xX][0-9a-fA-F]+);)|(?<=;)"
+
+
+def _character(piece: Column) -> Column:
+    """The character of a numeric reference; other text as it is."""
+    number = F.coalesce(
+        F.nullif(F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1), F.lit("")).cast("int"),
+        F.conv(F.nullif(F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10).cast("int"),
+    )
+    in_range = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    return F.when(in_range, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(piece)
+
+
 def link_manifest(pages: DataFrame, suffix: str = ".zip") -> DataFrame:
     """One row per link of a page that ends with ``suffix`` (case-sensitive), the page's other columns kept."""
     others = [c for c in pages.columns if c != "html"]

@@ -15,7 +15,7 @@ from tidegrid.operators.clean import clean_prices
 from tidegrid.operators.files import ledger_additions, unprocessed_files
 from tidegrid.plans.reports import price_summary
 from tidegrid.schema import BINARY_FILE
-from tidegrid.sinks.tables import read_ledger, write_ledger, write_prices, write_summary
+from tidegrid.sinks.tables import create_ledger, read_ledger, write_ledger, write_prices, write_summary
 from tidegrid.sources.history_csv import clean_history, read_history_csv
 from tidegrid.sources.market_zip import decode_market_zips
 from tidegrid.sources.prices import load_prices
@@ -104,6 +104,7 @@ def ingest_market_zips(
     writes folders named after its number, so a batch repeated after a failure replaces its own output.
     Await the returned query before using the tables.
     """
+    create_ledger(spark, warehouse.ledger)
     stream = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -151,6 +152,7 @@ def backfill_history(
 
     ``load_id`` names the run: repeating a failed run under the same name replaces its output.
     """
+    create_ledger(spark, warehouse.ledger)
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{year}*.csv").load(folder)
     # File names only, like the listing Spark keeps on the driver itself; loaded files are not opened.
     chosen = [r.path for r in _new_files(files, _loaded(spark, warehouse, source, load_id)).collect()]
