@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import mixed, pieces, text_bytes, word_hashes, written
 
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 BUCKET_KEYS = 2_000_000
 #: One in so many training documents is held out to learn the weights.
 HELD_PART = 10
@@ -32,6 +32,7 @@ ITERATIONS = 40
 PRIOR_TOKENS = 20.0
 LEAST_UNIFORM = 1e-4
 _OCTAVES = 40
+_STRETCH = 1 << 17
 
 _END, _START = (np.uint64(0xA24BAED4963EE407 + k) for k in (0, 2))
 _FACTORS = mixed(np.arange(11, 14, dtype=np.uint64)) | np.uint64(1)
@@ -337,9 +338,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch in rows:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 found = _counts(row, "total", train_docs)
-                p = _estimates(found, train_tokens)
-                own = weights[_levels(found["h2"]) * LEVELS + _levels(found["h3"])]
-                chance = own[:, 0] / (vocabulary + 1) + (own[:, 1:] * p).sum(axis=1)
+                chance = np.empty(len(found["c1"]))
+                # In stretches: the weights of all tokens at once would be the largest array by far.
+                for at in range(0, len(chance), _STRETCH):
+                    few = {k: v[at : at + _STRETCH] for k, v in found.items() if k != "lengths"}
+                    own = weights[_levels(few["h2"]) * LEVELS + _levels(few["h3"])]
+                    mixture = own[:, 0] / (vocabulary + 1) + (own[:, 1:] * _estimates(few, train_tokens)).sum(axis=1)
+                    chance[at : at + _STRETCH] = np.minimum(mixture, 1.0)
                 base = (found["c1"] + 0.5) / (train_tokens + 0.5 * (vocabulary + 1))
                 starts = np.concatenate([[0], np.cumsum(found["lengths"])[:-1]]).astype(np.int64)
                 ids = pa.array(_unpack(row["doc_ids"]).view(np.int64), mask=_unpack(row["no_id"]).astype(bool))
@@ -352,7 +357,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                         pa.array(np.add.reduceat((found["c1"] > 0).astype(np.int64), starts)),
                         pa.array([train_tokens] * rows_out, pa.int64()),
                         pa.array(np.add.reduceat(np.log10(base), starts)),
-                        pa.array(np.add.reduceat(np.log10(np.minimum(chance, 1.0)) if train_tokens else 0 * base, starts)),
+                        pa.array(np.add.reduceat(np.log10(chance) if train_tokens else 0 * base, starts)),
                     ],
                     ["doc_id", "kind", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
