@@ -5,11 +5,11 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from tidegrid.operators.arbitrage import annual_arbitrage, with_finance
+from tidegrid.operators.arbitrage import annual_arbitrage, daily_arbitrage, daily_report, with_finance
 from tidegrid.params import BatteryParams
 from tidegrid.plans import reports
 from tidegrid.plans.catalog import order_prices
-from tidegrid.sinks.reports import write_report, write_report_pack
+from tidegrid.sinks.reports import write_monthly_optimiser, write_report, write_report_pack, write_series
 from tidegrid.sinks.tables import read_summary, replace_table, write_summary
 
 
@@ -136,3 +136,16 @@ def test_years_are_reported_apart(make_prices, grid):
     for summary in (reports.monthly_summary(table), reports.seasonal_summary(table), reports.best_days(table)):
         assert summary.count() == 2
     assert sorted(r.year for r in reports.key_insights(reports.annual_summary(table)).collect()) == [2023, 2024]
+
+
+def test_optimiser_report_and_series_round_trip(spark, make_prices, grid, tmp_path):
+    prices = make_prices(grid("2024-01-31 23:30", "R", [5.0, 1.0, 9.0, 2.0, 7.0, 4.0] * 2))
+    report = daily_report(daily_arbitrage(prices, 2))
+    write_monthly_optimiser(report, str(tmp_path / "m"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "m"))
+    assert {"Date", "Charge_Price_$/MWh", "Daily_Profit_$"} <= set(back.columns)
+    want = sorted((r.trade_date.month, r.daily_profit) for r in report.collect())
+    assert sorted((int(r["month"]), float(r["Daily_Profit_$"])) for r in back.collect()) == want and len(want) == 2
+    write_series(prices, str(tmp_path / "s"), "hourly")
+    series = spark.read.option("header", True).csv(str(tmp_path / "s"))
+    assert sorted(float(r.mean_price) for r in series.collect()) == pytest.approx([28 / 6] * 2)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidegrid.operators.arbitrage import with_finance
+from tidegrid.operators.arbitrage import DAILY_REPORT_HEADINGS, with_finance
+from tidegrid.operators.resample import resample
 from tidegrid.params import BatteryParams
 from tidegrid.plans.reports import (
     ANNUAL_SUMMARY_HEADINGS,
@@ -55,3 +57,15 @@ def write_report_pack(daily: DataFrame, folder: str, params: BatteryParams = Bat
     write_report(monthly_summary(stored), f"{folder}/monthly", by=["REGIONID"])
     write_report(seasonal_summary(stored), f"{folder}/seasonal", by=["REGIONID"])
     write_report(best_days(stored), f"{folder}/best_days", single_file=True)
+
+
+def write_monthly_optimiser(report: DataFrame, folder: str) -> None:
+    """The daily optimiser report as CSV with its headings, a folder per region, year and month."""
+    dated = report.withColumns({"year": F.year("trade_date"), "month": F.month("trade_date")})
+    months = ["REGIONID", "year", "month"]
+    write_report(dated.hint("rebalance", *months), folder, by=months, headings=DAILY_REPORT_HEADINGS)
+
+
+def write_series(prices: DataFrame, folder: str, every: str, by: Sequence[str] = ("REGIONID",)) -> None:
+    """The resampled series behind the charts as CSV, a folder per value of ``by``."""
+    write_report(resample(prices, every, by), folder, by=by)
