@@ -6,7 +6,7 @@ from test_sources import HEAD, put_zip, record
 from tidegrid.operators.clean import clean_prices
 from tidegrid.plans.reports import price_summary
 from tidegrid.sinks import tables
-from tidegrid.sinks.tables import read_ledger, read_summary
+from tidegrid.sinks.tables import read_ledger, read_rejected_files, read_summary
 from tidegrid.sources.market_zip import read_market_zips
 from tidegrid.sources.prices import load_prices
 from tidegrid.streaming import ingest
@@ -115,3 +115,24 @@ def test_backfill(spark, tmp_path, warehouse):
     summary = read_summary(spark, warehouse.summary).first()
     assert (summary.record_count, summary.avg_price) == (2, 2.0)
     assert {r.source for r in read_ledger(spark, warehouse.ledger).collect()} == {"historic"}
+
+
+def test_rejected_archives_get_another_chance(spark, landing, warehouse):
+    """A truncated archive is listed, and loaded when the whole file lands under the same name."""
+    put_zip(landing / "bad.zip", {"a.csv": HEAD + record("2024/04/01 00:05:00", price=4)})
+    whole = (landing / "bad.zip").read_bytes()
+    (landing / "bad.zip").write_bytes(whole[: len(whole) // 2])
+    run(spark, landing, warehouse)
+    assert [r.filename for r in read_rejected_files(spark, warehouse.rejected).collect()] == ["bad.zip"]
+    (landing / "bad.zip").write_bytes(whole)
+    run(spark, landing, warehouse)
+    check(spark, landing, warehouse)
+    assert "bad.zip" in {r.filename for r in read_ledger(spark, warehouse.ledger).collect()}
+
+
+def test_first_load_of_bad_files_only(spark, tmp_path, warehouse):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "bad.zip").write_bytes(b"nothing")
+    run(spark, tmp_path / "l", warehouse)
+    assert read_ledger(spark, warehouse.ledger).isEmpty()
+    assert read_rejected_files(spark, warehouse.rejected).count() == 1

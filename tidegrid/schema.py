@@ -29,6 +29,14 @@ FLAT_PRICES = T.StructType(
 )
 
 # Files already loaded; load_id is the partition the write of one batch owns.
+REJECTED_FILES = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("filename", T.StringType()),
+        T.StructField("load_id", T.StringType()),
+    ]
+)
+
 LEDGER = T.StructType(
     [
         T.StructField("source", T.StringType()),

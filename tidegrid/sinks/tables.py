@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.schema import LEDGER, PARTITION_COLUMNS, SUMMARY
+from tidegrid.schema import LEDGER, PARTITION_COLUMNS, REJECTED_FILES, SUMMARY
 
 # Longer files are closed and continued in a new one.
 MAX_ROWS_PER_FILE = 5_000_000
@@ -47,6 +47,21 @@ def write_ledger(additions: DataFrame, root: str, load_id: str) -> None:
     additions.drop("load_id").write.mode("overwrite").parquet(f"{root}/load_id={load_id}")
 
 
+def create_rejected_files(spark: SparkSession, root: str) -> None:
+    """An empty table of files without usable rows where there is none."""
+    spark.createDataFrame([], REJECTED_FILES).write.mode("ignore").partitionBy("load_id").parquet(root)
+
+
+def read_rejected_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files that some load could not use; one that a later load used is in the ledger as well."""
+    return spark.read.schema(REJECTED_FILES).parquet(root).select(*REJECTED_FILES.names)
+
+
+def write_rejected_files(files: DataFrame, root: str, load_id: str) -> None:
+    """Record the files that one load could not use; repeating the load replaces its entries."""
+    files.select("source", "filename").write.mode("overwrite").parquet(f"{root}/load_id={load_id}")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write ``df`` in place of whatever the table holds."""
     df.write.mode("overwrite").parquet(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import date
+from itertools import batched
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +17,16 @@ from tidegrid.operators.clean import clean_prices
 from tidegrid.operators.files import ledger_additions, unprocessed_files
 from tidegrid.plans.reports import price_summary
 from tidegrid.schema import BINARY_FILE
-from tidegrid.sinks.tables import create_ledger, read_ledger, write_ledger, write_prices, write_summary
+from tidegrid.sinks.tables import (
+    create_ledger,
+    create_rejected_files,
+    read_ledger,
+    read_rejected_files,
+    write_ledger,
+    write_prices,
+    write_rejected_files,
+    write_summary,
+)
 from tidegrid.sources.history_csv import clean_history, read_history_csv
 from tidegrid.sources.market_zip import decode_market_zips
 from tidegrid.sources.prices import load_prices
@@ -39,6 +50,13 @@ class Warehouse:
     def summary(self) -> str:
         return f"{self.root}/price_summary"
 
+    @property
+    def rejected(self) -> str:
+        return f"{self.root}/rejected_files"
+
+    def staging(self, load_id: str) -> str:
+        return f"{self.root}/staging/{load_id}"
+
     def checkpoint(self, source: str) -> str:
         return f"{self.root}/checkpoints/{source}"
 
@@ -89,6 +107,39 @@ def _literal_path(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
+def _load_zips(spark: SparkSession, paths: list[str], warehouse: Warehouse, source: str, load_id: str) -> None:
+    """Decode archives into the load's staging folder once and store their rows; the others become rejected files."""
+    files = spark.read.format("binaryFile").load([_literal_path(path) for path in paths])
+    decoded = decode_market_zips(files)
+    decoded.write.mode("overwrite").parquet(warehouse.staging(load_id))
+    raw = spark.read.schema(decoded.schema).parquet(warehouse.staging(load_id))
+    named = raw.select("filename").distinct()
+    if not named.isEmpty():
+        _store(clean_prices(raw), named, warehouse, source, load_id)
+    names = [(source, path.rpartition("/")[2]) for path in paths]
+    offered = spark.createDataFrame(names, "source string, filename string")
+    write_rejected_files(offered.join(named, "filename", "left_anti"), warehouse.rejected, load_id)
+
+
+def _rejected_paths(spark: SparkSession, landing: str, warehouse: Warehouse, source: str) -> Iterator[str]:
+    """Files of the landing folder that earlier loads could not use, in order of their names."""
+    ledger = read_ledger(spark, warehouse.ledger).where(F.col("source") == source)
+    failed = read_rejected_files(spark, warehouse.rejected).where(F.col("source") == source).select("filename")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(landing)
+    again = _new_files(files, ledger).join(failed.distinct(), "filename", "left_semi")
+    return (r.path for r in again.orderBy("filename").toLocalIterator())
+
+
+def _retry(spark: SparkSession, paths: Iterable[str], warehouse: Warehouse, source: str, at_once: int) -> None:
+    """Load rejected files again, as a file may have landed anew under its name.
+
+    The load is named after its files, so a retry repeated after a failure replaces its own output.
+    """
+    for some in batched(paths, at_once):
+        digest = hashlib.sha256("\n".join(some).encode()).hexdigest()[:16]
+        _load_zips(spark, list(some), warehouse, source, f"{source}-retry-{digest}")
+
+
 def ingest_market_zips(
     spark: SparkSession,
     landing: str,
@@ -102,9 +153,12 @@ def ingest_market_zips(
 
     The stream's checkpoint remembers the files seen, the ledger the file names loaded. Each micro-batch
     writes folders named after its number, so a batch repeated after a failure replaces its own output.
+    Files that gave no rows are listed in ``rejected_files`` and tried again by every later run.
     Await the returned query before using the tables.
     """
     create_ledger(spark, warehouse.ledger)
+    create_rejected_files(spark, warehouse.rejected)
+    _retry(spark, _rejected_paths(spark, landing, warehouse, source), warehouse, source, max_files_per_batch)
     stream = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -121,12 +175,7 @@ def ingest_market_zips(
         chosen = [r.path for r in _new_files(batch, _loaded(session, warehouse, source, load_id)).collect()]
         if not chosen:
             return
-        files = session.read.format("binaryFile").load([_literal_path(path) for path in chosen])
-        raw = decode_market_zips(files).persist(StorageLevel.DISK_ONLY)
-        try:
-            _store(clean_prices(raw), raw.select("filename").distinct(), warehouse, source, load_id)
-        finally:
-            raw.unpersist()
+        _load_zips(session, chosen, warehouse, source, load_id)
 
     return (
         stream.load(landing)
