@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import pieces, shingle_sets, text_bytes, text_or_empty, written
@@ -116,25 +116,34 @@ def _large(df: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``cls, band, key`` of every class and band."""
+    """``cls, size, band, key`` of every class and band."""
     band = F.col("band")
     return classes.select(
-        "cls", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
+        "cls", F.col("n_shingles").alias("size"), "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     ).select(
         "cls",
+        "size",
         "band",
         F.xxhash64(band, F.substring(F.col("sketch"), band * BAND_REGISTERS + 1, F.lit(BAND_REGISTERS))).alias("key"),
     )
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows ``cls, band, key`` of buckets with several classes, with the bucket's ``members``."""
+    """Rows ``cls, size, band, key`` of buckets with several classes, with the bucket's ``members``."""
     members = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return rows.join(_large(members), "key")
 
 
+def _sizes_fit(one: Column, two: Column) -> Column:
+    """No larger similarity than that of the smaller size to the larger one is possible."""
+    return 100 * F.least(one, two) >= THRESHOLD_PERCENT * F.greatest(one, two)
+
+
 def _pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` of bucket rows ``cls, key, members``; within a component none is needed."""
+    """Distinct candidate pairs ``a < b`` of bucket rows ``cls, size, key, members``.
+
+    Pairs within a component, and pairs of sets too different in size for the threshold, are not needed.
+    """
     rows = buckets
     if labels is not None:
         rows = rows.join(labels, "cls", "left")
@@ -143,14 +152,14 @@ def _pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     small = (
         rows.where(F.col("members") <= SMALL)
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("cls", "comp"))).alias("m"))
+        .agg(F.sort_array(F.collect_list(F.struct("cls", "comp", "size"))).alias("m"))
         .where(F.size("m") > 1)
     )
     at = F.posexplode("m").alias("i", "x")
     all_pairs = (
         small.select("m", at)
         .select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
-        .where(F.col("x.comp") != F.col("y.comp"))
+        .where((F.col("x.comp") != F.col("y.comp")) & _sizes_fit(F.col("x.size"), F.col("y.size")))
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     )
     hot = rows.where(F.col("members") > SMALL)
@@ -158,14 +167,14 @@ def _pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     central = hot.groupBy("cls").agg(F.sum(F.log("members")).alias("central"))
     ranked = hot.join(central, "cls")
     salted = [F.xxhash64("cls", "key", F.lit(i)) for i in range(HUBS - 1)]
-    member = F.struct("cls", "comp")
+    member = F.struct("cls", "comp", "size")
     hubs = ranked.groupBy("key").agg(
         F.array(F.max_by(member, F.struct("central", "cls")), *[F.min_by(member, s) for s in salted]).alias("hubs")
     )
     starred = (
         hot.join(hubs, "key")
-        .select("cls", "comp", F.explode(F.array_distinct("hubs")).alias("hub"))
-        .where((F.col("comp") != F.col("hub.comp")) & (F.col("cls") != F.col("hub.cls")))
+        .select("cls", "comp", "size", F.explode(F.array_distinct("hubs")).alias("hub"))
+        .where((F.col("comp") != F.col("hub.comp")) & _sizes_fit(F.col("size"), F.col("hub.size")))
         .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
     )
     return all_pairs.unionByName(starred).distinct()
@@ -200,8 +209,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for s in "ab"
     ]
     joined = pairs.join(_large(sides[0]), "a")
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    joined = joined.join(_large(sides[1]), "b").where(100 * small >= THRESHOLD_PERCENT * large)
+    joined = joined.join(_large(sides[1]), "b")
     chosen = joined.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
     return chosen.mapInArrow(_estimate_rows, _ESTIMATED).where(F.col("similarity") >= least)
 
@@ -359,11 +367,11 @@ def _split(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     hot = buckets.where(F.col("members") > SMALL).join(labels, "cls", "left")
     comp = F.coalesce("comp", "cls")
     mixed = hot.groupBy("key").agg(F.min(comp).alias("low"), F.max(comp).alias("high")).where("low < high")
-    rows = hot.select("cls", "band", "key").join(mixed.select("key"), "key", "left_semi")
-    steps = rows.select("cls", "key", "band", F.explode(F.sequence(F.lit(1), F.lit(SPLITS))).alias("step")).select(
-        "cls", "key", F.pmod(F.col("band") + F.col("step"), F.lit(BANDS)).alias("band")
+    rows = hot.select("cls", "size", "band", "key").join(mixed.select("key"), "key", "left_semi")
+    steps = rows.select("cls", "size", "key", "band", F.explode(F.sequence(F.lit(1), F.lit(SPLITS))).alias("step")).select(
+        "cls", "size", "key", F.pmod(F.col("band") + F.col("step"), F.lit(BANDS)).alias("band")
     )
     with_sketch = steps.join(_large(classes.select("cls", "sketch")), "cls")
     registers = F.substring(F.col("sketch"), F.col("band") * BAND_REGISTERS + 1, F.lit(BAND_REGISTERS))
-    finer = with_sketch.select("cls", "band", F.xxhash64("key", "band", registers).alias("key"))
+    finer = with_sketch.select("cls", "size", "band", F.xxhash64("key", "band", registers).alias("key"))
     return written(_shared(finer))
