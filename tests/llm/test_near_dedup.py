@@ -73,6 +73,28 @@ def test_equals_brute_force(make_docs, awkward, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def template_pages(seed=5):
+    """Pages that share most of their words, all alike but unlinked, and near copies among them just above the threshold."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, rows = [word() for _ in range(166)], []
+    for i in range(300):
+        own = [word() for _ in range(34)]
+        rows.append(passage + own)
+        if i % 2:
+            rows.append(passage + own[:7] + [word() for _ in range(27)])
+    rng.shuffle(rows)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_near_copies_among_pages_of_one_template(make_docs):
+    rows = template_pages()
+    want = components(rows)
+    assert sum(i != c for i, _, c in want) == 150
+    got = near_duplicates(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
 def test_empty_table(make_docs):
     assert near_duplicates(make_docs([(1, None)]).limit(0)).count() == 0
     assert [tuple(r)[2:] for r in near_duplicates(make_docs([(1, None)])).collect()] == [(0, 1, True)]

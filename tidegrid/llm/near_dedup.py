@@ -5,11 +5,13 @@ of two sketches is the sketch of the union, and the share of equal registers gro
 
 1. Documents with the same shingle set are one class; everything below works on classes.
 2. Bands of registers form buckets. A bucket of up to ``SMALL`` classes gives all its pairs. A larger one gives a pair
-   of every member with a few hubs, among them its most central member. Larger buckets in which several components
-   remain are then split by further bands, level by level, so that members that share no hub meet in small buckets.
+   of every member with a few hubs, among them its most central member.
 3. For every pair the similarity is estimated from both sketches by maximum likelihood. Pairs whose estimate lies more
    than ``MARGIN`` standard deviations below the threshold are dropped.
 4. The rest is verified on full shingle sets, best pairs first; pairs whose classes are connected by then are implied.
+5. Classes of larger buckets in which several components remain are joined on their rarest shingles. Sizes and
+   positions in the order of rarity rule pairs out before they meet, so every pair that can reach the threshold is
+   found, whatever many of them have in common.
 
 No step gathers a bucket, a component or a group in one task: buckets are aggregates, small buckets have at most
 ``SMALL`` members, and components are found by joins.
@@ -38,9 +40,6 @@ RATE = 20.0
 MARGIN = 4.5
 SMALL = 24
 HUBS = 3
-LEVELS = 2
-#: Further bands that split a large bucket.
-SPLITS = 8
 
 _MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 4096
@@ -139,42 +138,37 @@ def _sizes_fit(one: Column, two: Column) -> Column:
     return 100 * F.least(one, two) >= THRESHOLD_PERCENT * F.greatest(one, two)
 
 
-def _pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _pairs(buckets: DataFrame) -> DataFrame:
     """Distinct candidate pairs ``a < b`` of bucket rows ``cls, size, key, members``.
 
-    Pairs within a component, and pairs of sets too different in size for the threshold, are not needed.
+    Pairs of sets too different in size for the threshold are not needed.
     """
-    rows = buckets
-    if labels is not None:
-        rows = rows.join(labels, "cls", "left")
-    comp = F.coalesce("comp", "cls") if labels is not None else F.col("cls")
-    rows = rows.withColumn("comp", comp)
     small = (
-        rows.where(F.col("members") <= SMALL)
+        buckets.where(F.col("members") <= SMALL)
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("cls", "comp", "size"))).alias("m"))
+        .agg(F.sort_array(F.collect_list(F.struct("cls", "size"))).alias("m"))
         .where(F.size("m") > 1)
     )
     at = F.posexplode("m").alias("i", "x")
     all_pairs = (
         small.select("m", at)
         .select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
-        .where((F.col("x.comp") != F.col("y.comp")) & _sizes_fit(F.col("x.size"), F.col("y.size")))
+        .where(_sizes_fit(F.col("x.size"), F.col("y.size")))
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     )
-    hot = rows.where(F.col("members") > SMALL)
+    hot = buckets.where(F.col("members") > SMALL)
     # A member is central when many of its buckets are large: it has the registers that most others share.
     central = hot.groupBy("cls").agg(F.sum(F.log("members")).alias("central"))
     ranked = hot.join(central, "cls")
     salted = [F.xxhash64("cls", "key", F.lit(i)) for i in range(HUBS - 1)]
-    member = F.struct("cls", "comp", "size")
+    member = F.struct("cls", "size")
     hubs = ranked.groupBy("key").agg(
         F.array(F.max_by(member, F.struct("central", "cls")), *[F.min_by(member, s) for s in salted]).alias("hubs")
     )
     starred = (
         hot.join(hubs, "key")
-        .select("cls", "comp", "size", F.explode(F.array_distinct("hubs")).alias("hub"))
-        .where((F.col("comp") != F.col("hub.comp")) & _sizes_fit(F.col("size"), F.col("hub.size")))
+        .select("cls", "size", F.explode(F.array_distinct("hubs")).alias("hub"))
+        .where((F.col("cls") != F.col("hub.cls")) & _sizes_fit(F.col("size"), F.col("hub.size")))
         .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
     )
     return all_pairs.unionByName(starred).distinct()
@@ -315,6 +309,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Sets are compared as sets of 64-bit hashes; a pair of similarity s is a candidate with probability
     1 - (1 - s^5)^48, more than 1 - 2e-6 at the threshold, and most documents have more than one way into a component.
+    This holds in buckets of any size: what the hubs of a large one leave apart is compared by its rarest shingles.
     """
     keyed = _keyed(docs)
     sketched = written(keyed.select("doc_id", "text_key", "text").mapInArrow(_sketch_rows, _SKETCHED))
@@ -329,16 +324,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
     )
     buckets = written(_shared(_bands(classes)))
-    pairs = written(_estimated(_pairs(buckets, None), classes))
+    pairs = written(_estimated(_pairs(buckets), classes))
     texts = _texts(keyed, classes, buckets)
     labels = _link(pairs, texts)
-    for _ in range(LEVELS - 1):
-        buckets = _split(buckets, labels, classes)
-        found = written(_estimated(_pairs(buckets, labels), classes))
-        if not found.isEmpty():
-            labels = connect(written(_verified(found, texts).select("a", "b")), labels)
-        elif buckets.isEmpty():
-            break
+    mixed = written(_mixed(buckets, labels))
+    if not mixed.isEmpty():
+        found = written(_estimated(_rare_pairs(mixed, texts), classes))
+        labels = connect(written(_verified(found, texts).select("a", "b")), labels)
     named = sketched.select("doc_id", "text_key", "n_shingles", F.when(F.col("digest").isNotNull(), cls).alias("cls"))
     placed = named.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component"))
@@ -362,16 +354,65 @@ def _texts(keyed: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFram
     return written(joined.groupBy("cls").agg(F.first("text").alias("text")))
 
 
-def _split(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Buckets of the next level: large ones with several components, divided by each of the next ``SPLITS`` bands."""
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cls, comp, size`` of the classes in large buckets that hold several components."""
     hot = buckets.where(F.col("members") > SMALL).join(labels, "cls", "left")
-    comp = F.coalesce("comp", "cls")
-    mixed = hot.groupBy("key").agg(F.min(comp).alias("low"), F.max(comp).alias("high")).where("low < high")
-    rows = hot.select("cls", "size", "band", "key").join(mixed.select("key"), "key", "left_semi")
-    steps = rows.select("cls", "size", "key", "band", F.explode(F.sequence(F.lit(1), F.lit(SPLITS))).alias("step")).select(
-        "cls", "size", "key", F.pmod(F.col("band") + F.col("step"), F.lit(BANDS)).alias("band")
+    hot = hot.select("key", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+    several = hot.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return hot.join(_large(several.select("key")), "key", "left_semi").select("cls", "comp", "size").distinct()
+
+
+_SHINGLED = "cls bigint, comp bigint, size bigint, gram bigint"
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, "text", 1 << 20):
+            sets = list(shingle_sets(*text_bytes(part.column("text")), SHINGLE_WORDS))
+            of = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).take(of) for c in ("cls", "comp", "size")),
+                 pa.array(np.concatenate(sets).view(np.int64))],
+                ["cls", "comp", "size", "gram"],
+            )
+
+
+def _rare_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``mixed`` in different components, among them all that reach the threshold.
+
+    Shingles are ordered from the rarest to the most frequent, those of one component alone first: no pair needs them.
+    If a pair's first common shingle leaves ``rest`` shingles of either set, itself included, the pair has no more than
+    the smaller ``rest`` in common. Where that is too few for the two sizes they do not meet at this shingle.
+    """
+    rows = mixed.join(_large(texts), "cls").select("cls", "comp", "size", "text").mapInArrow(_shingle_rows, _SHINGLED)
+    rows = written(rows)
+    counts = [F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")]
+    common = rows.groupBy("gram").agg(*counts).where("low < high").select("gram", "n")
+    ordered = (
+        rows.join(_large(common), "gram")
+        .groupBy("cls", "comp", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    )
+    at = F.posexplode("grams").alias("i", "x")
+    prefix = ordered.select("cls", "comp", "size", F.size("grams").alias("shared"), at).select(
+        "cls", "comp", "size", F.col("x.gram").alias("gram"), (F.col("shared") - F.col("i")).cast("bigint").alias("rest")
+    )
+    # The sets of a linked pair have at least this share of either set in common.
+    prefix = written(prefix.where(100 * F.col("rest") >= THRESHOLD_PERCENT * F.col("size")))
+
+    def enough(rest: Column, one: Column, two: Column) -> Column:
+        return (100 + THRESHOLD_PERCENT) * rest >= THRESHOLD_PERCENT * (one + two)
+
+    met = prefix.groupBy("gram").agg(*counts, F.min("size").alias("least")).where("low < high").select("gram", "least")
+    able = written(
+        prefix.join(_large(met), "gram").where(enough(F.col("rest"), F.col("size"), F.col("least"))).drop("least")
+    )
+    x, y = able.alias("x"), able.alias("y")
+    fits = (
+        (F.col("x.gram") == F.col("y.gram"))
+        & (F.col("x.cls") < F.col("y.cls"))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & _sizes_fit(F.col("x.size"), F.col("y.size"))
+        & enough(F.least("x.rest", "y.rest"), F.col("x.size"), F.col("y.size"))
     )
-    with_sketch = steps.join(_large(classes.select("cls", "sketch")), "cls")
-    registers = F.substring(F.col("sketch"), F.col("band") * BAND_REGISTERS + 1, F.lit(BAND_REGISTERS))
-    finer = with_sketch.select("cls", "size", "band", F.xxhash64("key", "band", registers).alias("key"))
-    return written(_shared(finer))
+    return x.join(_large(y), fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
