@@ -16,7 +16,7 @@ from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.language import UNDETERMINED, identify_languages, learn_languages
 from tidegrid.llm.mixing import mix_sources, with_size
 from tidegrid.llm.near_dedup import near_duplicates
-from tidegrid.llm.quality import quality_rules
+from tidegrid.llm.quality import MODEL_BUCKETS, quality_rules
 
 #: A document whose predicted language has a smaller share of the n-gram hits is rejected.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -24,7 +24,8 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
-    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality_rules(docs, labels, buckets=MODEL_BUCKETS, threshold=None)
     return judged.where("kept").select(*docs.columns)
 
 

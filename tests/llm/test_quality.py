@@ -102,3 +102,28 @@ def test_junk_goes_and_prose_stays(spark):
     junk = [r.kept for r in judged if r.n_symbols > 0.1 * r.n_words]
     clean = [r.kept for r in judged if r.n_symbols == 0 and "!! " not in r.text]
     assert sum(junk) <= 0.05 * len(junk) and sum(clean) >= 0.93 * len(clean)
+
+
+def test_learned_threshold_rejects_noise_of_every_language(spark):
+    from tidegrid.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").distinct()
+    judged = QUERIES["op6_quality_rules"](spark, sf).where("NOT base_failed").join(langs, "doc_id").collect()
+    noise = [r.kept for r in judged if r.n_symbols > 0.2 * r.n_words and r.lang in ("de", "es", "fr")]
+    clean = [r.kept for r in judged if r.n_symbols == 0]
+    print("noise kept", sum(noise), len(noise), "clean rejected", len(clean) - sum(clean), len(clean))
+    assert noise and not any(noise) and sum(clean) >= 0.93 * len(clean)
+
+
+def test_target_documents_are_scored_without_their_own_grams(make_docs, labels):
+    import math
+
+    from tidegrid.llm.quality import _counts, held_out_scores
+
+    rows = [(103, " ".join(f"a{i % 40}" for i in range(60))), (104, " ".join(f"b{i % 50}" for i in range(70))), (7, "c " * 60)]
+    docs = make_docs(rows)
+    others = quality_rules(docs, labels.where("doc_id = 103"), buckets=64).where("doc_id = 104").first().score
+    full = _counts(docs, labels.where("doc_id IN (103, 104)"), 64)
+    got = held_out_scores(docs, labels.where("doc_id IN (103, 104)"), full, 64, 1.0, 50).collect()
+    assert len(got) == 2 and any(math.isclose(r.score, others, abs_tol=2e-6) for r in got)

@@ -8,12 +8,18 @@ scalar array; scoring a document needs no shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import SPACES, fenced, space_words, text_or_empty
+from tidegrid.llm.common import SPACES, fenced, space_words, text_or_empty, written
 
 BUCKETS = 1 << 13
+#: Buckets of a model whose threshold is learned.
+MODEL_BUCKETS = 1 << 16
+#: Share of the trusted documents that a learned threshold may reject.
+REJECTED_SHARE = 0.005
 UNITS = 1_000_000
 #: Counts added to every bucket of either multinomial.
 SMOOTHING = 1.0
@@ -47,47 +53,113 @@ def _positions(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def log_ratios(
-    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
-) -> DataFrame:
-    """One row with the array ``ratios``: of every bucket, in 1e-6 units, from counts over all documents.
-
-    The target are documents that ``labels`` (``doc_id, quality, toxic``) calls good and not toxic. Of several labels
-    the worst counts. Without any target n-gram all ratios are 0.
-    """
+def _target(docs: DataFrame, labels: DataFrame, how: str) -> DataFrame:
+    """``text, _good`` of ``docs``; ``_good`` where ``labels`` calls a document good and not toxic."""
     trusted = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("_labelled"))
         .agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("_good"))
         .where("_good")
     )
-    words = (
-        docs.select("doc_id", "text")
-        # Always a shuffle: labels grow with the documents, so a broadcast would hold for small tables only.
-        .join(trusted.hint("merge"), F.col("doc_id") == F.col("_labelled"), "left")
-        .select(space_words(F.col("text")).alias("_q_words"), F.col("_good").isNotNull().cast("bigint").alias("good"))
+    # Always a shuffle: labels grow with the documents, so a broadcast would hold for small tables only.
+    joined = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("_labelled"), how)
+    return joined.select("text", "_good")
+
+
+def _counts(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, raw, good``: n-grams of all documents and of the target, a row for every bucket."""
+    words = _target(docs, labels, "left").select(
+        space_words(F.col("text")).alias("_q_words"), F.col("_good").isNotNull().cast("bigint").alias("good")
     )
     grams = _hashed(words).select(F.explode(F.concat("_q_h1", "_q_h2")).alias("gram"), "good")
     counted = grams.groupBy(_bucket(F.col("gram"), buckets).alias("bucket")).agg(
         F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")
     )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(counted, "bucket", "left").select(
+    return every.join(counted, "bucket", "left").select(
         "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "good")]
     )
-    one = full.agg(
+
+
+def _in_one_row(full: DataFrame) -> DataFrame:
+    return full.agg(
         F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("counts"),
         F.sum("raw").alias("raw"),
         F.sum("good").alias("good"),
     )
 
+
+def _ratios(full: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     def ratio(x: Column) -> Column:
         trusted_log = F.log((x["good"] + smoothing) / (F.col("good") + smoothing * buckets))
         raw_log = F.log((x["raw"] + smoothing) / (F.col("raw") + smoothing * buckets))
         return F.rint((trusted_log - raw_log) * UNITS).cast("bigint")
 
     neutral = F.transform("counts", lambda x: F.lit(0).cast("bigint"))
-    return one.select(F.when(F.col("good") > 0, F.transform("counts", ratio)).otherwise(neutral).alias("ratios"))
+    ratios = F.when(F.col("good") > 0, F.transform("counts", ratio)).otherwise(neutral)
+    return _in_one_row(full).select(ratios.alias("ratios"))
+
+
+def log_ratios(
+    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
+) -> DataFrame:
+    """One row with the array ``ratios``: of every bucket, in 1e-6 units, from counts over all documents.
+
+    The target are documents that ``labels`` (``doc_id, quality, toxic``) calls good and not toxic. Of several labels
+    the worst counts. Without any target n-gram all ratios are 0.
+    """
+    return _ratios(_counts(docs, labels, buckets), buckets, smoothing)
+
+
+def held_out_scores(
+    docs: DataFrame, labels: DataFrame, full: DataFrame, buckets: int, smoothing: float, min_words: int
+) -> DataFrame:
+    """``score`` of every target document of at least ``min_words`` words, its own n-grams taken out of the target.
+
+    So it is scored as one without a label is, however small the target.
+    """
+    one = _in_one_row(full)
+    raw_log = F.transform("counts", lambda x: F.struct(
+        x["good"].alias("good"), F.log((x["raw"] + smoothing) / (F.col("raw") + smoothing * buckets)).alias("raw_log")
+    ))
+    table, all_good = one.select(raw_log.alias("t")).scalar(), full.agg(F.sum("good").alias("g")).scalar()
+    s, starts = F.col("_q_sorted"), F.col("_q_starts")
+    words = _target(docs, labels, "inner").select(space_words(F.col("text")).alias("_q_words"))
+    grams = _hashed(words).select(
+        F.size("_q_words").alias("n_words"),
+        F.sort_array(F.transform(F.concat("_q_h1", "_q_h2"), lambda h: _bucket(h, buckets))).alias("_q_sorted"),
+    )
+    first = F.filter(_positions(F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = F.transform(starts, lambda i, j: F.struct(
+        F.get(s, i).alias("bucket"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - i).cast("bigint").alias("n")
+    ))
+
+    def gain(total: Column, r: Column) -> Column:
+        x = F.get(F.col("_q_table"), r["bucket"])
+        return total + r["n"] * F.rint((F.log(x["good"] - r["n"] + smoothing) - x["raw_log"]) * UNITS).cast("bigint")
+
+    summed = (
+        grams.withColumn("_q_starts", first)
+        .withColumn("_q_runs", runs)
+        .withColumn("_q_table", table)
+        .withColumn("_q_gain", F.aggregate("_q_runs", F.lit(0).cast("bigint"), gain))
+    )
+    n = F.size(s)
+    score = F.col("_q_gain") / n / UNITS - F.log(all_good - n + smoothing * buckets)
+    return summed.select(F.when(F.col("n_words") >= min_words, score).alias("score"))
+
+
+def learned_threshold(scores: DataFrame) -> float:
+    """The score, in whole 1e-3, that ``REJECTED_SHARE`` of ``scores`` lie below; ``THRESHOLD`` without any.
+
+    Scores are counted by whole 1e-3 first, so the percentile reads a bounded number of rows. It skips NULL itself: a
+    filter would be pushed below the scores and evaluate their arrays again.
+    """
+    cells = scores.groupBy(F.floor(F.col("score") * 1000).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    found = written(cells).agg(F.percentile("cell", F.lit(REJECTED_SHARE), F.col("n")).alias("cell")).first()
+    return THRESHOLD if found["cell"] is None else math.floor(found["cell"]) / 1000
 
 
 def text_statistics(text: Column, words: Column) -> dict[str, Column]:
@@ -147,7 +219,7 @@ def quality_rules(
     labels: DataFrame,
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
-    threshold: float = THRESHOLD,
+    threshold: float | None = THRESHOLD,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
 ) -> DataFrame:
@@ -155,9 +227,15 @@ def quality_rules(
 
     NULL and empty texts have no words, score 0 and fail the base rules. Texts of one word have one unigram. Rows
     without a label are part of the raw corpus only. Repeated rows are judged alike, an empty table gives no rows,
-    and columns named like an added one are replaced.
+    and columns named like an added one are replaced. ``threshold=None`` learns it from the scores of all target
+    documents, each scored without its own n-grams, so that it fits the model whatever the size of the tables.
     """
-    table = log_ratios(docs, labels, buckets, smoothing).scalar()
+    if threshold is None:
+        full = written(_counts(docs, labels, buckets))
+        table = _ratios(full, buckets, smoothing).scalar()
+        threshold = learned_threshold(held_out_scores(docs, labels, full, buckets, smoothing, min_words))
+    else:
+        table = log_ratios(docs, labels, buckets, smoothing).scalar()
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     base = docs.drop(*[c for c in docs.columns if c in added or c.startswith("_q_")])
     w, mask = F.col("_q_words"), F.col("_q_mask")

@@ -14,7 +14,7 @@ from tidegrid.llm.licenses import scan_licenses
 from tidegrid.llm.lm_score import score_documents
 from tidegrid.llm.mixing import mix_sources, with_size
 from tidegrid.llm.near_dedup import near_duplicates
-from tidegrid.llm.quality import quality_rules
+from tidegrid.llm.quality import MODEL_BUCKETS, quality_rules
 from tidegrid.llm.tokens import length_histogram, suffix_sums, with_token_count
 from tidegrid.llm.url_filter import filter_urls, rule_table
 from tidegrid.llm.warc import archive_pages, read_archives
@@ -76,9 +76,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(
-        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
-    )
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules(docs, _table(spark, sf_dir, "labels"), buckets=MODEL_BUCKETS, threshold=None)
     return judged.drop("text")
 
 
