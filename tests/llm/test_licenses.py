@@ -4,7 +4,7 @@ import pytest
 from llm_fixtures import awkward, make_docs  # noqa: F401
 from pyspark.sql import functions as F
 
-from tidegrid.llm.licenses import BASE_PHRASES, evaluate, parse_expression, scan_licenses
+from tidegrid.llm.licenses import BASE_PHRASES, evaluate, parse_expression, scan_licenses, scan_text
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -67,3 +67,16 @@ def test_evaluation():
     ):
         assert evaluate(parse_expression(text))[1] is free, text
     assert evaluate(parse_expression("MIT OR GPL-2.0"))[0] == list(truth)
+
+
+@pytest.mark.parametrize("text, expressions", [
+    ("SPDX-License-Identifier: MIT pragma solidity ^0.8", ["MIT"]),
+    ("SPDX-License-Identifier: MIT. This file", ["MIT"]),
+    ("SPDX-License-Identifier: (MIT OR GPL-2.0+), see below", ["(MIT OR GPL-2.0+)"]),
+    ("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC-->", ["MIT", "ISC"]),
+    ("SPDX-License-Identifier: (MIT OR", []),
+    ("SPDX-License-Identifier:\nMIT", []),
+    ("SPDX-License-Identifier: " + "MIT OR " * 2000 + "GPL-2.0", ["MIT OR " * 2000 + "GPL-2.0"]),
+])
+def test_expressions_end_where_no_token_continues_them(text, expressions):
+    assert scan_text(text)["expressions"] == expressions

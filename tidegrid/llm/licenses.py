@@ -44,7 +44,6 @@ PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "cc0", "zlib", "unlicense
 
 _RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
-_EXPRESSION_CHARS = 4096
 
 
 def parse_expression(text: str) -> list[str] | None:
@@ -87,6 +86,40 @@ def parse_expression(text: str) -> list[str] | None:
     return output + stack[::-1]
 
 
+def leading_expression(text: str, at: int) -> str:
+    """The text from ``at`` to the first token that cannot continue an expression, without trailing punctuation."""
+    begin = end = None
+    gap, depth, operand_next = at, 0, True
+    for found in _TOKEN.finditer(text, at):
+        between = text[gap : found.start()]
+        if between.strip() or "\n" in between or "\r" in between:
+            break
+        token = found.group()
+        name = token.rstrip(".:-")
+        if token == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif token == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        elif token.lower() in _RANK:
+            if operand_next:
+                break
+            operand_next = True
+        else:
+            if not operand_next or not name or token.lower() == TAG:
+                break
+            operand_next = False
+        begin = found.start() if begin is None else begin
+        end = found.start() + len(name) if name else found.end()
+        gap = found.end()
+        if name != token and token not in "()":
+            break
+    return "" if begin is None else text[begin:end]
+
+
 def evaluate(postfix: Sequence[str], permissive: frozenset[str] = PERMISSIVE) -> tuple[list[str], bool]:
     """Licences named by a parsed expression, and whether it can be met with permissive ones alone.
 
@@ -152,7 +185,7 @@ def scan_text(
     lowered = text.encode("utf-8", "replace").translate(LOWER_BYTES)
     if TAG.encode() in lowered:
         for end, _ in _automaton((TAG,)).iter(lowered.decode("utf-8")):
-            line = re.split(r"[\r\n]|\*/|-->|\"", text[end + 1 : end + 1 + _EXPRESSION_CHARS], maxsplit=1)[0].strip()
+            line = leading_expression(text, end + 1)
             parsed = parse_expression(line)
             if parsed:
                 names, free = evaluate(parsed)
