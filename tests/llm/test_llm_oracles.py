@@ -10,7 +10,7 @@ from tidegrid.llm import queries
 
 def test_every_operator_is_registered_once():
     names = [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in queries.QUERIES
     assert queries.QUERIES.items() <= entry_module.queries().items()
 
 

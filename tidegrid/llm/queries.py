@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.bpe import bpe_round_trip
 from tidegrid.llm.common import is_bucket, written
+from tidegrid.llm.conversations import damage_and_repair
 from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.language import identify_languages, learn_languages
 from tidegrid.llm.licenses import scan_licenses
@@ -15,6 +17,7 @@ from tidegrid.llm.lm_score import score_documents
 from tidegrid.llm.mixing import mix_sources, with_size
 from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.quality import MODEL_BUCKETS, quality_rules
+from tidegrid.llm.resample import resample
 from tidegrid.llm.tokens import length_histogram, suffix_sums, with_token_count
 from tidegrid.llm.url_filter import filter_urls, rule_table
 from tidegrid.llm.warc import archive_pages, read_archives
@@ -246,6 +249,22 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op11_importance_resampling")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.drop("text")
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
