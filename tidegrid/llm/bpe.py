@@ -18,6 +18,8 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched, chain
+from operator import methodcaller
 
 import pyarrow as pa
 import regex
@@ -26,9 +28,9 @@ from pyspark.sql import types as T
 
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words and transitions one worker remembers before it starts anew; results do not depend on it.
-REMEMBERED_WORDS = 200_000
-REMEMBERED_ARCS = 2_000_000
-_FLUSH = 1 << 16
+REMEMBERED_WORDS = 400_000
+REMEMBERED_ARCS = 1_000_000
+WORDS_AT_ONCE = 8192
 
 # The pattern that splits texts into words, and the characters that stand for bytes in the file.
 WORDS = (
@@ -63,7 +65,8 @@ class Automaton:
         for time, (u, v, w) in enumerate(merges, start=1):
             self._gadget(time, u, v, w)
         self._end = len(merges) + 1
-        self._arcs: dict[tuple[int, int], int] = {}
+        self._arcs: dict[int, dict[int, int]] = {}
+        self._remembered = 0
         self._trie: list[dict[int, int]] = [{}]
         self._token_at: list[int] = [-1]
         for token, label in labels.items():
@@ -120,36 +123,55 @@ class Automaton:
 
     def step(self, state: int, token: int) -> int:
         """Target of the arc ``token`` of ``state``, or -1."""
-        found = self._arcs.get((state, token))
+        arcs = self._arcs.get(state)
+        if arcs is None:
+            arcs = self._arcs[state] = {}
+        found = arcs.get(token)
         if found is None:
             found = self.target[token] if self._has(state, token, self._end) else -1
-            if len(self._arcs) >= REMEMBERED_ARCS:
+            self._remembered += 1
+            if self._remembered > REMEMBERED_ARCS:
                 self._arcs.clear()
-            self._arcs[state, token] = found
+                self._remembered = 0
+            else:
+                arcs[token] = found
         return found
 
-    def encode(self, word: bytes) -> array:
-        """Token ids of one word. Every prefix of it has one accepted path; its last arc and state are kept."""
-        size = len(word)
-        states, last = array("q", [-1]) * (size + 1), array("q", [-1]) * (size + 1)
-        states[0] = 0
-        trie, token_at, step = self._trie, self._token_at, self.step
-        for begin in range(size):
-            state, node = states[begin], 0
-            for end in range(begin, size):
-                node = trie[node].get(word[end], -1)
-                if node == -1:
-                    break
-                token = token_at[node]
-                if token != -1 and last[end + 1] == -1:
+    def encode(self, word: bytes) -> list[int]:
+        """Token ids of one word.
+
+        Every prefix has one accepted path, so a place that led nowhere needs no second visit, whichever way it is
+        reached: each is left at most once, by the longest arc first, and time is linear in the word.
+        """
+        size, trie, token_at, step = len(word), self._trie, self._token_at, self.step
+        visited = bytearray(size + 1)
+        at, state, path, waiting = 0, 0, [], []
+        while at < size:
+            if not visited[at]:
+                visited[at] = 1
+                node, choices = 0, []
+                for end in range(at, size):
+                    node = trie[node].get(word[end])
+                    if node is None:
+                        break
+                    token = token_at[node]
+                    if token != -1:
+                        choices.append(token)
+                waiting.append((at, state, choices))
+            at, state, choices = waiting[-1]
+            while choices:
+                token = choices.pop()
+                end = at + len(self.labels[token])
+                if not visited[end]:
                     following = step(state, token)
                     if following != -1:
-                        states[end + 1], last[end + 1] = following, token
-        path, at = array("I"), size
-        while at:
-            path.append(last[at])
-            at -= len(self.labels[last[at]])
-        path.reverse()
+                        path.append(token)
+                        at, state = end, following
+                        break
+            else:
+                waiting.pop()
+                path.pop()
+                at = waiting[-1][0]
         return path
 
 
@@ -165,11 +187,11 @@ class Encoder:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in read["model"]["merges"]]
         self.automaton = Automaton(labels, [(ids[u], ids[v], ids[u + v]) for u, v in pairs])
         self._added = {t["content"]: t["id"] for t in read["added_tokens"]}
-        self._labels = labels | {i: token.encode() for token, i in self._added.items()}
+        self._labels: dict[int, bytes] = labels | {i: token.encode() for token, i in self._added.items()}
         longest_first = sorted(self._added, key=len, reverse=True)
         self._split = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self._words = regex.compile(WORDS)
-        self._known: dict[str, array] = {}
+        self._known: dict[str, list[int]] = {}
 
     def _segments(self, text: str) -> Iterator[tuple[str, int]]:
         """Stretches of text, each with the added token behind it or -1."""
@@ -181,29 +203,28 @@ class Encoder:
 
     def encode(self, text: str) -> Iterator[array]:
         """Ids of a whole text, a run at a time."""
-        known, run = self._known, array("I")
+        known = self._known
         for segment, added in self._segments(text):
-            for match in self._words.finditer(segment):
-                word = match.group()
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.automaton.encode(word.encode())
-                    if len(word) <= 64:
-                        if len(known) >= REMEMBERED_WORDS:
-                            known.clear()
-                        known[word] = ids
-                run.extend(ids)
-                if len(run) >= _FLUSH:
-                    yield run
-                    run = array("I")
+            words = map(methodcaller("group"), self._words.finditer(segment))
+            for some in batched(words, WORDS_AT_ONCE):
+                found = list(map(known.get, some))
+                if None in found:
+                    found = [ids or self._learn(word) for ids, word in zip(found, some)]
+                yield array("I", chain.from_iterable(found))
             if added != -1:
-                run.append(added)
-        yield run
+                yield array("I", [added])
+
+    def _learn(self, word: str) -> list[int]:
+        ids = self._known.get(word) or self.automaton.encode(word.encode())
+        if len(word) <= 64:
+            if len(self._known) >= REMEMBERED_WORDS:
+                self._known.clear()
+            self._known[word] = ids
+        return ids
 
     def decode(self, ids: array) -> bytes:
         """The bytes of the arc labels, one after the other."""
-        labels = self._labels
-        return b"".join([labels[i] for i in ids])
+        return b"".join(map(self._labels.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -225,7 +246,7 @@ def bpe_round_trip(docs: DataFrame, path: str = VOCABULARY_FILE, with_ids: bool
     """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole ``text``.
 
     The digests are over the ids as little-endian 32-bit numbers and over the text decoded from them in UTF-8; both
-    grow run by run, so beside the text only 65,536 ids are held. ``with_ids`` adds ``ids`` (array of integers).
+    grow run by run, so beside the text only the ids of 8,192 words are held. ``with_ids`` adds ``ids`` (array of integers).
     NULL and empty texts have no tokens and the digests of nothing. Words of any length take time in proportion to
     it. Ties and repeated rows are encoded one by one, an empty table gives no rows. Columns named like an added one
     are replaced; all others stay.
