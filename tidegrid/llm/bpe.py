@@ -37,6 +37,7 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+_NO_ARCS: dict[int, int] = {}
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
@@ -54,8 +55,8 @@ class Automaton:
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]) -> None:
         self.labels = labels
-        # States: what was lost and when, the state it was copied from, and the time of the copy.
-        self._lost: list[dict[int, int]] = [{}]
+        # States: which of them lost an arc, and when; the state each was copied from, and the time of the copy.
+        self._lost_by: dict[int, dict[int, int]] = {}
         self._copied: list[tuple[int, int]] = [(-1, 0)]
         # Arcs with one label have one target; a state that only one label reaches needs no further copy.
         self.target = dict.fromkeys(labels, 0)
@@ -67,8 +68,7 @@ class Automaton:
         self._end = len(merges) + 1
         self._arcs: dict[int, dict[int, int]] = {}
         self._remembered = 0
-        self._trie: list[dict[int, int]] = [{}]
-        self._token_at: list[int] = [-1]
+        self._trie: dict[int, list] = {}
         for token, label in labels.items():
             self._add_to_trie(token, label)
 
@@ -84,32 +84,32 @@ class Automaton:
         if self._only[followed] != -1:
             self._only[followed] = -1
         if self._only[reached] != u:
-            self._lost.append({})
             self._copied.append((reached, time))
             self._only.append(u)
-            reached = self.target[u] = len(self._lost) - 1
-        self._lost[reached][v] = time
+            reached = self.target[u] = len(self._only) - 1
+        self._lost_by.setdefault(v, {})[reached] = time
         self._made[w] = (u, time)
 
     def _add_to_trie(self, token: int, label: bytes) -> None:
-        node = 0
+        """A trie node is ``[token or None, children]``."""
+        children = self._trie
         for byte in label:
-            following = self._trie[node].get(byte)
-            if following is None:
-                following = self._trie[node][byte] = len(self._trie)
-                self._trie.append({})
-                self._token_at.append(-1)
-            node = following
-        self._token_at[node] = token
+            node = children.setdefault(byte, [None, {}])
+            children = node[1]
+        node[0] = token
 
     def _lost_at(self, state: int, token: int, before: int) -> bool:
         """Whether ``state`` lost its arc ``token`` before a time, itself or as the states it was copied from."""
+        lost_by = self._lost_by.get(token)
+        if lost_by is None:
+            return False
         while state != -1:
-            when = self._lost[state].get(token)
+            when = lost_by.get(state)
             if when is not None and when <= before:
                 return True
             state, copied = self._copied[state]
-            before = min(before, copied - 1)
+            if copied <= before:
+                before = copied - 1
         return False
 
     def _has(self, state: int, token: int, time: int) -> bool:
@@ -143,27 +143,31 @@ class Automaton:
         Every prefix has one accepted path, so a place that led nowhere needs no second visit, whichever way it is
         reached: each is left at most once, by the longest arc first, and time is linear in the word.
         """
-        size, trie, token_at, step = len(word), self._trie, self._token_at, self.step
+        size, arcs, step, labels = len(word), self._arcs, self.step, self.labels
         visited = bytearray(size + 1)
         at, state, path, waiting = 0, 0, [], []
         while at < size:
             if not visited[at]:
                 visited[at] = 1
-                node, choices = 0, []
-                for end in range(at, size):
-                    node = trie[node].get(word[end])
+                choices, children = [], self._trie
+                for byte in word[at:] if at else word:
+                    node = children.get(byte)
                     if node is None:
                         break
-                    token = token_at[node]
-                    if token != -1:
+                    token, children = node
+                    if token is not None:
                         choices.append(token)
                 waiting.append((at, state, choices))
-            at, state, choices = waiting[-1]
+            else:
+                at, state, choices = waiting[-1]
+            known = arcs.get(state, _NO_ARCS)
             while choices:
                 token = choices.pop()
-                end = at + len(self.labels[token])
+                end = at + len(labels[token])
                 if not visited[end]:
-                    following = step(state, token)
+                    following = known.get(token)
+                    if following is None:
+                        following = step(state, token)
                     if following != -1:
                         path.append(token)
                         at, state = end, following
