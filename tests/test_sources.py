@@ -18,7 +18,8 @@ from tidegrid.operators.clean import (
 from tidegrid.operators.files import ledger_merge, recent_files, unprocessed_files
 from tidegrid.schema import PRICE_COLUMNS
 from tidegrid.sinks.tables import write_prices
-from tidegrid.sources.history_csv import clean_history, read_history_csv
+from tidegrid.plans.reports import price_summary
+from tidegrid.sources.history_csv import clean_history, read_history_csv, rejected_history
 from tidegrid.sources.index_pages import link_manifest, resolve_links
 from tidegrid.sources.market_zip import read_market_zips
 from tidegrid.sources.prices import load_flat_prices, load_prices, read_foreign_prices
@@ -259,3 +260,40 @@ def test_history_files_of_any_width(spark, tmp_path, width):
 def test_links_by_hand(spark, html, links):
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert [r.link for r in link_manifest(pages).collect()] == links
+
+
+def test_history_lines_of_any_width_and_quoting(spark, tmp_path):
+    """A line of 100,000 quoted fields is cut in linear time, without recursion."""
+    wide = ",".join(f'"c,{i}"' for i in range(100_000))
+    lines = [
+        f'REGION,SETTLEMENTDATE,"RRP",{wide}',
+        f'"V""IC,1",2024/01/01 00:05:00,1.5,{wide}',
+        '"unclosed,2024/01/01 00:10:00,2',
+        'plain,2024/01/01 00:15:00,3,"x',
+        '"""",2024/01/01 00:20:00,"4"',
+    ]
+    (tmp_path / "wide_2024.csv").write_text("\n".join(lines) + "\n")
+    found = read_history_csv(spark, str(tmp_path), 2024).orderBy("SETTLEMENTDATE").collect()
+    assert [(r.REGION, r.RRP) for r in found if r.SETTLEMENTDATE] == [('V"IC,1', "1.5"), ("plain", "3"), ('"', "4")]
+
+
+def test_out_of_range_prices_are_rejected_on_every_way_in(spark, make_prices, tmp_path):
+    rows = [("R", "2024/01/01 00:05:00", p) for p in ("10", "1e13", "-1e12", "1e999", "NaN", "999999999999")]
+    raw = spark.createDataFrame(rows, "REGION string, SETTLEMENTDATE string, RRP string")
+    assert sorted(r.RRP for r in clean_history(raw, 2024, "2024-06-09").collect()) == [10.0, 999999999999.0]
+    reasons = {r.RRP: r.reason for r in rejected_history(raw, 2024, "2024-06-09").collect()}
+    assert reasons == {
+        "1e13": "price out of range", "-1e12": "price out of range", "1e999": "bad price", "NaN": "bad price"
+    }
+    prices = make_prices([("2024-01-01 00:05", "R", 1e13), ("2024-01-01 00:10", "R", 10.0)])
+    prices.write.parquet(str(tmp_path / "p"))
+    summary = price_summary(load_prices(spark, str(tmp_path / "p"))).first()
+    assert (summary.max_price, summary.avg_price, summary.record_count) == (10.0, 10.0, 1)
+
+
+@pytest.mark.parametrize("clean", [clean_prices, rejected_prices])
+def test_texts_are_read_once(spark, clean):
+    raw = spark.createDataFrame([("a",) * 5], "SETTLEMENTDATE string, REGIONID string, PERIODID string, RRP string, LASTCHANGED string")
+    plan = clean(raw)._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the price; a rejected row's period has no reader but its reason.
+    assert plan.count("RLIKE") == 2 and plan.count("try_cast(translate") + plan.count("as timestamp_ntz") <= 4

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 UNITS_PER_PRICE = 100_000
 
-# Decimal notation only, of any length.
-_PLAIN_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+# What decimal notation is written with; a cast alone would also read names, type suffixes and hexadecimal.
+_NUMBER_CHARACTERS = r"^[-+.0-9eE\s]*$"
 
-# Prices from here on do not fit the exact type and are rejected when rows are cleaned.
+# Prices from here on do not fit the exact type: no price anywhere, see `valid_price`.
 PRICE_LIMIT = 1e12
 
 
@@ -65,7 +65,13 @@ def round_half_even(value: Column, digits: int) -> Column:
 
 def parse_number(text: Column | str) -> Column:
     """Finite number in ``text`` as DOUBLE, else NULL."""
-    return finite(F.regexp_extract(text, _PLAIN_NUMBER, 0).try_cast("double"))
+    return finite(read_number(text))
+
+
+def read_number(text: Column | str) -> Column:
+    """Number in decimal notation of any length as DOUBLE, infinite where it is too large, else NULL."""
+    value = F.col(text) if isinstance(text, str) else text
+    return F.when(value.rlike(_NUMBER_CHARACTERS), value).try_cast("double")
 
 
 def parse_small_int(text: Column | str) -> Column:
@@ -76,4 +82,14 @@ def parse_small_int(text: Column | str) -> Column:
 def finite(value: Column | str) -> Column:
     """NULL instead of NaN or an infinity."""
     number = F.col(value) if isinstance(value, str) else value
-    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+    # NaN is larger than every number.
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
+
+
+def valid_price(value: Column | str) -> Column:
+    """The price, or NULL for NaN, infinities and prices out of range.
+
+    Every way into the engine applies it, so that counts, extremes and exact sums are over the same rows.
+    """
+    number = F.col(value) if isinstance(value, str) else value
+    return F.when(F.abs(number) < PRICE_LIMIT, number)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import parse_timestamp
-from tidegrid.functions.numeric import PRICE_LIMIT, finite, parse_number, parse_small_int
+from tidegrid.functions.numeric import PRICE_LIMIT, read_number, valid_price
 from tidegrid.schema import PRICE_COLUMNS
 
 
@@ -32,24 +32,38 @@ def with_partition_columns(prices: DataFrame) -> DataFrame:
     return prices.withColumns({"year": F.year("SETTLEMENTDATE"), "month": F.month("SETTLEMENTDATE")})
 
 
+def price_fault(number: Column) -> Column:
+    """Why a number read from text is no price, or NULL."""
+    return (
+        F.when(number.isNull() | (F.abs(number) == F.lit(float("inf"))), "bad price")
+        .when(F.abs(number) >= PRICE_LIMIT, "price out of range")
+    )
+
+
 def _typed(raw: DataFrame) -> DataFrame:
+    """Typed columns beside the raw ones, and the first ``reason`` a row cannot be used, or NULL.
+
+    Texts are read in a projection of their own. The row number in it keeps filters on what follows from being
+    pushed below, where they would read the texts again.
+    """
     require_columns(raw, PRICE_COLUMNS)
-    typed = raw.select(
+    read = raw.select(
         *[F.col(c).alias(f"raw_{c}") for c in PRICE_COLUMNS],
         parse_timestamp(bare_text("SETTLEMENTDATE")).alias("SETTLEMENTDATE"),
         F.nullif(bare_text("REGIONID"), F.lit("")).alias("REGIONID"),
-        parse_small_int(bare_text("PERIODID")).alias("PERIODID"),
-        parse_number(bare_text("RRP")).alias("RRP"),
+        read_number(bare_text("PERIODID")).try_cast("bigint").try_cast("smallint").alias("PERIODID"),
+        read_number(bare_text("RRP")).alias("RRP"),
         parse_timestamp(bare_text("LASTCHANGED")).alias("LASTCHANGED"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     reason = (
-        F.when(F.col("SETTLEMENTDATE").isNull(), "bad date")
+        F.when(F.col("_row") < 0, "no row")
+        .when(F.col("SETTLEMENTDATE").isNull(), "bad date")
         .when(F.col("REGIONID").isNull(), "no region")
-        .when(F.col("RRP").isNull(), "bad price")
-        .when(F.abs("RRP") >= PRICE_LIMIT, "price out of range")
+        .when(price_fault(F.col("RRP")).isNotNull(), price_fault(F.col("RRP")))
         .when(F.col("PERIODID").isNull(), "bad period")
     )
-    return typed.withColumn("reason", reason)
+    return read.withColumn("reason", reason)
 
 
 def clean_prices(raw: DataFrame) -> DataFrame:
@@ -68,8 +82,8 @@ def rejected_prices(raw: DataFrame) -> DataFrame:
 
 
 def drop_bad_numbers(prices: DataFrame) -> DataFrame:
-    """NULL in place of NaN and infinite prices of tables written elsewhere."""
-    return prices.withColumn("RRP", finite("RRP"))
+    """NULL in place of what is no price (:func:`valid_price`) in tables written elsewhere."""
+    return prices.withColumn("RRP", valid_price("RRP"))
 
 
 def dedupe_prices(prices: DataFrame) -> DataFrame:

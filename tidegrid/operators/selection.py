@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import at, day_of_week, day_type, season
@@ -38,11 +38,15 @@ def filter_range(
     return chosen
 
 
+def within_backfill(stamp: Column, year: int, cutoff: date | str) -> Column:
+    """Whether a stamp lies in one calendar year, strictly before a cutoff day."""
+    start, following = datetime(year, 1, 1), datetime(year + 1, 1, 1)
+    return (stamp >= at(start)) & (stamp < at(following)) & (stamp < at(midnight(cutoff)))
+
+
 def backfill_filter(prices: DataFrame, year: int, cutoff: date | str) -> DataFrame:
     """Rows of one calendar year strictly before a cutoff day."""
-    stamp = F.col("SETTLEMENTDATE")
-    start, following = datetime(year, 1, 1), datetime(year + 1, 1, 1)
-    return prices.where((stamp >= at(start)) & (stamp < at(following)) & (stamp < at(midnight(cutoff))))
+    return prices.where(within_backfill(F.col("SETTLEMENTDATE"), year, cutoff))
 
 
 def distinct_regions(prices: DataFrame) -> DataFrame:
