@@ -30,6 +30,12 @@ def from_units(units: Column, rows: Column | int = 1) -> Column:
     return units.cast("double") / F.lit(float(UNITS_PER_PRICE)) / divisor.cast("double")
 
 
+def exact_sum(price: Column | str) -> Column:
+    """Aggregate: exact sum with five decimals, in the type that sums of such sums have."""
+    exact = (F.col(price) if isinstance(price, str) else price).try_cast("decimal(18,5)")
+    return F.sum(exact).cast("decimal(38,5)")
+
+
 def exact_mean(price: Column | str) -> Column:
     """Aggregate: mean price from an exact sum; NULL prices are skipped.
 

@@ -55,6 +55,7 @@ def _typed(raw: DataFrame) -> DataFrame:
         read_number(bare_text("RRP")).alias("RRP"),
         parse_timestamp(bare_text("LASTCHANGED")).alias("LASTCHANGED"),
         F.monotonically_increasing_id().alias("_row"),
+        *[c for c in raw.columns if c == "filename"],
     )
     reason = (
         F.when(F.col("_row") < 0, "no row")
@@ -73,11 +74,12 @@ def clean_prices(raw: DataFrame) -> DataFrame:
 
 
 def rejected_prices(raw: DataFrame) -> DataFrame:
-    """The rows :func:`clean_prices` drops, as landed, with the first reason."""
+    """The rows :func:`clean_prices` drops, as landed, with the first reason and their ``filename`` where known."""
+    extra = [c for c in raw.columns if c == "filename"]
     return (
         _typed(raw)
         .where(F.col("reason").isNotNull())
-        .select(*[F.col(f"raw_{c}").alias(c) for c in PRICE_COLUMNS], "reason")
+        .select(*[F.col(f"raw_{c}").alias(c) for c in PRICE_COLUMNS], "reason", *extra)
     )
 
 

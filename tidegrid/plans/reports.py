@@ -6,24 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import month_name
-from tidegrid.functions.numeric import exact_mean, money_mean, money_sum, round_half_even
+from tidegrid.functions.numeric import exact_sum, money_mean, money_sum, round_half_even
 from tidegrid.params import BatteryParams
 
 
-def price_summary(prices: DataFrame) -> DataFrame:
-    """Minimum, maximum, mean and count of prices by region, year and month."""
+def price_partials(prices: DataFrame) -> DataFrame:
+    """Minimum, maximum, exact sum and count of prices by region, year and month, which can be merged."""
     return (
         prices.where(F.col("RRP").isNotNull())
         .groupBy("REGIONID", "year", "month")
         .agg(
             F.min("RRP").alias("min_price"),
             F.max("RRP").alias("max_price"),
-            exact_mean("RRP").alias("avg_price"),
+            exact_sum("RRP").alias("sum_price"),
             F.count(F.lit(1)).alias("record_count"),
         )
     )
 
 
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """One row per region, year and month from any number of :func:`price_partials`, with the mean ``avg_price``."""
+    total, rows = F.sum("sum_price"), F.sum("record_count")
+    return partials.groupBy("REGIONID", "year", "month").agg(
+        F.min("min_price").alias("min_price"),
+        F.max("max_price").alias("max_price"),
+        total.cast("decimal(38,5)").alias("sum_price"),
+        (total.cast("double") / rows.cast("double")).alias("avg_price"),
+        rows.alias("record_count"),
+    )
+
+
+def price_summary(prices: DataFrame) -> DataFrame:
+    """Minimum, maximum, mean and count of prices by region, year and month."""
+    return price_partials(prices).select(
+        "REGIONID",
+        "year",
+        "month",
+        "min_price",
+        "max_price",
+        (F.col("sum_price").cast("double") / F.col("record_count").cast("double")).alias("avg_price"),
+        "record_count",
+    )
+
+
 def year_profile(prices: DataFrame, year: int) -> DataFrame:
     """Date range, rows and number of regions of one year, as one row."""
     return prices.where(F.col("year") == year).agg(

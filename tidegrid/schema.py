@@ -16,6 +16,7 @@ PRICES = T.StructType(
         T.StructField("REGIONID", T.StringType()),
     ]
 )
+# The columns of a price row in their order.
 PRICE_COLUMNS = ["SETTLEMENTDATE", "REGIONID", "PERIODID", "RRP", "LASTCHANGED"]
 PARTITION_COLUMNS = ["year", "month", "REGIONID"]
 
@@ -28,15 +29,28 @@ FLAT_PRICES = T.StructType(
     ]
 )
 
-# Files already loaded; load_id is the partition the write of one batch owns.
+# Files without usable rows, as they were when a load gave up on them.
 REJECTED_FILES = T.StructType(
     [
         T.StructField("source", T.StringType()),
         T.StructField("filename", T.StringType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("modified", T.TimestampType()),
         T.StructField("load_id", T.StringType()),
     ]
 )
 
+# Rows without a usable price, as landed, with the reason.
+REJECTED_ROWS = T.StructType(
+    [
+        *[T.StructField(name, T.StringType()) for name in PRICE_COLUMNS],
+        T.StructField("reason", T.StringType()),
+        T.StructField("filename", T.StringType()),
+        T.StructField("load_id", T.StringType()),
+    ]
+)
+
+# Files already loaded; load_id is the partition the write of one batch owns.
 LEDGER = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -46,13 +60,29 @@ LEDGER = T.StructType(
     ]
 )
 
+_PARTIALS = [
+    T.StructField("min_price", T.DoubleType()),
+    T.StructField("max_price", T.DoubleType()),
+    T.StructField("sum_price", T.DecimalType(38, 5)),
+    T.StructField("record_count", T.LongType()),
+]
+
+# Live parts of the price table with partial results, one row per part, month and region.
+MANIFEST = T.StructType(
+    [
+        T.StructField("year", T.IntegerType()),
+        T.StructField("month", T.IntegerType()),
+        T.StructField("part", T.StringType()),
+        T.StructField("REGIONID", T.StringType()),
+        *_PARTIALS,
+    ]
+)
+
 SUMMARY = T.StructType(
     [
         T.StructField("REGIONID", T.StringType()),
-        T.StructField("min_price", T.DoubleType()),
-        T.StructField("max_price", T.DoubleType()),
+        *_PARTIALS,
         T.StructField("avg_price", T.DoubleType()),
-        T.StructField("record_count", T.LongType()),
         T.StructField("year", T.IntegerType()),
         T.StructField("month", T.IntegerType()),
     ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.schema import LEDGER, PARTITION_COLUMNS, REJECTED_FILES, SUMMARY
+from tidegrid.schema import LEDGER, PARTITION_COLUMNS, REJECTED_FILES, REJECTED_ROWS, SUMMARY
 
 # Longer files are closed and continued in a new one.
 MAX_ROWS_PER_FILE = 5_000_000
@@ -47,9 +47,10 @@ def write_ledger(additions: DataFrame, root: str, load_id: str) -> None:
     additions.drop("load_id").write.mode("overwrite").parquet(f"{root}/load_id={load_id}")
 
 
-def create_rejected_files(spark: SparkSession, root: str) -> None:
-    """An empty table of files without usable rows where there is none."""
-    spark.createDataFrame([], REJECTED_FILES).write.mode("ignore").partitionBy("load_id").parquet(root)
+def create_rejected(spark: SparkSession, files: str, rows: str) -> None:
+    """Empty tables of files and of rows without usable prices where there are none."""
+    for schema, root in ((REJECTED_FILES, files), (REJECTED_ROWS, rows)):
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("load_id").parquet(root)
 
 
 def read_rejected_files(spark: SparkSession, root: str) -> DataFrame:
@@ -57,9 +58,14 @@ def read_rejected_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(REJECTED_FILES).parquet(root).select(*REJECTED_FILES.names)
 
 
-def write_rejected_files(files: DataFrame, root: str, load_id: str) -> None:
-    """Record the files that one load could not use; repeating the load replaces its entries."""
-    files.select("source", "filename").write.mode("overwrite").parquet(f"{root}/load_id={load_id}")
+def read_rejected_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of loaded files that hold no usable price."""
+    return spark.read.schema(REJECTED_ROWS).parquet(root).select(*REJECTED_ROWS.names)
+
+
+def write_rejected(rejected: DataFrame, root: str, load_id: str) -> None:
+    """Record the files or rows that one load could not use; repeating the load replaces its entries."""
+    rejected.drop("load_id").write.mode("overwrite").parquet(f"{root}/load_id={load_id}")
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -80,5 +86,6 @@ def write_summary(summary: DataFrame, root: str) -> None:
 
 
 def read_summary(spark: SparkSession, root: str) -> DataFrame:
-    """The stored ``price_summary``."""
-    return spark.read.schema(SUMMARY).parquet(root).select("REGIONID", "year", "month", *SUMMARY.names[1:5])
+    """The stored ``price_summary``, with the exact sum beside the mean."""
+    names = ["REGIONID", "year", "month", "min_price", "max_price", "sum_price", "avg_price", "record_count"]
+    return spark.read.schema(SUMMARY).parquet(root).select(*names)

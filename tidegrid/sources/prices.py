@@ -17,8 +17,9 @@ from tidegrid.schema import FLAT_PRICES, PARTITION_COLUMNS, PRICES
 
 def load_prices(
     spark: SparkSession,
-    root: str,
+    root: str | Sequence[str],
     *,
+    base: str | None = None,
     years: Sequence[int] | None = None,
     months: Sequence[int] | None = None,
     regions: Sequence[str] | None = None,
@@ -27,10 +28,14 @@ def load_prices(
 ) -> DataFrame:
     """The partitioned price table, or the part of it that the arguments name.
 
+    ``root`` may be a list of folders below ``base``, from which partition values are read.
     ``years``, ``months`` and ``regions`` prune partitions. ``start`` and ``end`` (stamps, both included)
     filter rows and prune the months outside the range.
     """
-    prices = spark.read.schema(PRICES).parquet(root).select(*PRICES.names)
+    reader = spark.read.schema(PRICES)
+    if base is not None:
+        reader = reader.option("basePath", base)
+    prices = reader.parquet(*([root] if isinstance(root, str) else root)).select(*PRICES.names)
     for column, values in (("year", years), ("month", months), ("REGIONID", regions)):
         if values is not None:
             prices = prices.where(F.col(column).isin(*values))

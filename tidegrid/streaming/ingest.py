@@ -1,35 +1,50 @@
-"""Incremental ingest of landed files: every file once, summary kept current."""
+"""Incremental ingest of landed files: every file once, every interval once, summary kept current."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegrid.operators.clean import clean_prices
-from tidegrid.operators.files import ledger_additions, unprocessed_files
-from tidegrid.plans.reports import price_summary
-from tidegrid.schema import BINARY_FILE
+from tidegrid.operators.clean import clean_prices, dedupe_prices, rejected_prices
+from tidegrid.operators.files import file_name, ledger_additions, recent_files, unprocessed_files
+from tidegrid.schema import BINARY_FILE, PRICES
+from tidegrid.sinks.manifest import (
+    Month,
+    commit,
+    create_manifest,
+    live_parts,
+    live_prices,
+    parts_prices,
+    read_manifest,
+    remove_folder,
+    remove_garbage,
+    summary_of,
+    write_part,
+)
 from tidegrid.sinks.tables import (
     create_ledger,
-    create_rejected_files,
+    create_rejected,
     read_ledger,
     read_rejected_files,
     write_ledger,
-    write_prices,
-    write_rejected_files,
+    write_rejected,
     write_summary,
 )
-from tidegrid.sources.history_csv import clean_history, read_history_csv
+from tidegrid.sources.history_csv import clean_history, read_history_csv, rejected_history
 from tidegrid.sources.market_zip import decode_market_zips
-from tidegrid.sources.prices import load_prices
+
+# A month with this many parts is rewritten as one by the load that finds it.
+MOST_PARTS = 8
+_KEY = ["REGIONID", "SETTLEMENTDATE"]
 
 
 @dataclass(frozen=True)
@@ -50,10 +65,18 @@ class Warehouse:
     def summary(self) -> str:
         return f"{self.root}/price_summary"
 
+    @property
+    def manifest(self) -> str:
+        return f"{self.root}/manifest"
+
     @property
     def rejected(self) -> str:
         return f"{self.root}/rejected_files"
 
+    @property
+    def rejected_rows(self) -> str:
+        return f"{self.root}/rejected_rows"
+
     def staging(self, load_id: str) -> str:
         return f"{self.root}/staging/{load_id}"
 
@@ -61,23 +84,92 @@ class Warehouse:
         return f"{self.root}/checkpoints/{source}"
 
 
-def _load(spark: SparkSession, warehouse: Warehouse, load_id: str) -> DataFrame:
-    return load_prices(spark, f"{warehouse.prices}/load_id={load_id}")
+def create_tables(spark: SparkSession, warehouse: Warehouse) -> None:
+    """Empty tables where there are none."""
+    create_ledger(spark, warehouse.ledger)
+    create_rejected(spark, warehouse.rejected, warehouse.rejected_rows)
+    create_manifest(spark, warehouse.manifest)
+
+
+def read_prices(spark: SparkSession, warehouse: Warehouse, **chosen: object) -> DataFrame:
+    """The price table as of the newest commit; arguments as for ``load_prices``."""
+    return live_prices(spark, warehouse.prices, warehouse.manifest, **chosen)
 
 
-def refresh_summary(spark: SparkSession, warehouse: Warehouse, load_id: str) -> None:
-    """Recompute ``price_summary`` for the months that one load touched, from all loads."""
-    prices = load_prices(spark, warehouse.prices)
-    months = _load(spark, warehouse, load_id).select("year", "month").distinct()
-    # A calendar has few months: the list is small whatever the load holds, and prunes the price partitions.
-    touched = prices.join(F.broadcast(months), ["year", "month"], "left_semi")
-    write_summary(price_summary(touched), warehouse.summary)
+def _months(df: DataFrame) -> set[Month]:
+    """The calendar months that occur, a short list whatever the table holds."""
+    return {(r.year, r.month) for r in df.select("year", "month").distinct().collect()}
 
 
-def _store(prices: DataFrame, files: DataFrame, warehouse: Warehouse, source: str, load_id: str) -> None:
-    """Prices, then ledger, then summary: a file counts as loaded only once its rows are written."""
+def upsert_prices(spark: SparkSession, prices: DataFrame, warehouse: Warehouse, load_id: str) -> set[Month]:
+    """Add rows to the price table, one per region and stamp: the one changed last. Returns the months changed.
+
+    Rows are first reduced to the latest of their own, then compared with the live rows of the months they touch,
+    of which only keys and change stamps are read. New stamps are added as one more part of their month. Where a
+    later change replaces a row, or a month has ``MOST_PARTS`` parts, the month is rewritten as one part. One commit
+    switches everything. Rows that are live already change nothing, so a load may be repeated at any point.
+    """
+    attempt = f"{load_id}-{uuid.uuid4().hex[:8]}"
+    staging = warehouse.staging(attempt)
+    parts = live_parts(read_manifest(spark, warehouse.manifest))
+    latest = dedupe_prices(prices.select(*PRICES.names))
+    latest.write.parquet(f"{staging}/latest")
+    fresh = spark.read.schema(PRICES).parquet(f"{staging}/latest")
+    touched = _months(fresh)
+    live = parts_prices(spark, warehouse.prices, parts, touched)
+    known = live.select(*[F.col(c).alias(f"_{c}") for c in _KEY], F.col("LASTCHANGED").alias("_changed"), F.lit(1).alias("_live"))
+    at_once = [F.col(c) == F.col(f"_{c}") for c in _KEY]
+    later = F.col("LASTCHANGED") > F.col("_changed")
+    never = F.col("_changed").isNull() & F.col("LASTCHANGED").isNotNull()
+    winners = (
+        fresh.join(known, at_once, "left")
+        .where(F.col("_live").isNull() | later | never)
+        .select(*PRICES.names, F.col("_live").isNotNull().alias("replaces"))
+    )
+    winners.write.parquet(f"{staging}/winners")
+    won = spark.read.schema(winners.schema).parquet(f"{staging}/winners")
+    changed = _months(won)
+    if changed:
+        full = {month for month in changed if len(parts.get(month, ())) + 1 > MOST_PARTS}
+        rewritten = full | _months(won.where("replaces"))
+        rows = won.select(*PRICES.names)
+        if rewritten:
+            # Live rows of the rewritten months that no winner replaces, each stamp being live once.
+            gone = won.where("replaces").select(*[F.col(c).alias(f"_{c}") for c in _KEY])
+            stays = parts_prices(spark, warehouse.prices, parts, rewritten).join(gone, at_once, "left_anti")
+            rows = rows.unionByName(stays)
+        added = write_part(rows, warehouse.prices, attempt)
+        commit(spark, warehouse.manifest, added, rewritten)
+    remove_folder(spark, staging)
+    return changed
+
+
+def compact_prices(spark: SparkSession, warehouse: Warehouse) -> set[Month]:
+    """Rewrite every month of several parts as one, then delete what no newer version names. Returns those months."""
+    parts = live_parts(read_manifest(spark, warehouse.manifest))
+    several = {month for month, names in parts.items() if len(names) > 1}
+    if several:
+        rows = parts_prices(spark, warehouse.prices, parts, several)
+        added = write_part(rows, warehouse.prices, f"compacted-{uuid.uuid4().hex[:8]}")
+        commit(spark, warehouse.manifest, added, several)
+    remove_garbage(spark, warehouse.prices, warehouse.manifest)
+    return several
+
+
+def refresh_summary(spark: SparkSession, warehouse: Warehouse) -> None:
+    """Bring ``price_summary`` up to the newest commit from the partial results in the manifest; no price is read."""
+    write_summary(summary_of(read_manifest(spark, warehouse.manifest)), warehouse.summary)
+
+
+def _store(
+    prices: DataFrame, rejected: DataFrame, files: DataFrame, warehouse: Warehouse, source: str, load_id: str
+) -> None:
+    """Prices, then summary, rejected rows and ledger: a file counts as loaded only once all of its rows are kept."""
     spark = prices.sparkSession
-    write_prices(prices, warehouse.prices, load_id)
+    upsert_prices(spark, prices, warehouse, load_id)
+    if live_parts(read_manifest(spark, warehouse.manifest)):
+        refresh_summary(spark, warehouse)
+    write_rejected(rejected, warehouse.rejected_rows, load_id)
     entries = files.select(
         F.lit(source).alias("source"),
         "filename",
@@ -86,8 +178,6 @@ def _store(prices: DataFrame, files: DataFrame, warehouse: Warehouse, source: st
     )
     earlier = _loaded(spark, warehouse, source, load_id)
     write_ledger(ledger_additions(earlier, entries), warehouse.ledger, load_id)
-    if not _load(spark, warehouse, load_id).isEmpty():
-        refresh_summary(spark, warehouse, load_id)
 
 
 def _loaded(spark: SparkSession, warehouse: Warehouse, source: str, load_id: str) -> DataFrame:
@@ -111,33 +201,52 @@ def _load_zips(spark: SparkSession, paths: list[str], warehouse: Warehouse, sour
     """Decode archives into the load's staging folder once and store their rows; the others become rejected files."""
     files = spark.read.format("binaryFile").load([_literal_path(path) for path in paths])
     decoded = decode_market_zips(files)
-    decoded.write.mode("overwrite").parquet(warehouse.staging(load_id))
-    raw = spark.read.schema(decoded.schema).parquet(warehouse.staging(load_id))
+    staging = warehouse.staging(load_id)
+    decoded.write.mode("overwrite").parquet(staging)
+    raw = spark.read.schema(decoded.schema).parquet(staging)
     named = raw.select("filename").distinct()
     if not named.isEmpty():
-        _store(clean_prices(raw), named, warehouse, source, load_id)
-    names = [(source, path.rpartition("/")[2]) for path in paths]
-    offered = spark.createDataFrame(names, "source string, filename string")
-    write_rejected_files(offered.join(named, "filename", "left_anti"), warehouse.rejected, load_id)
+        _store(clean_prices(raw), rejected_prices(raw), named, warehouse, source, load_id)
+    unusable = _described(files).join(named, "filename", "left_anti").withColumn("source", F.lit(source))
+    write_rejected(unusable.select("source", "filename", "length", "modified"), warehouse.rejected, load_id)
+    remove_folder(spark, staging)
+
+
+def _described(files: DataFrame) -> DataFrame:
+    """Name, size and time of change of files; their contents are not read."""
+    return files.select(
+        "path", file_name("path").alias("filename"), "length", F.col("modificationTime").alias("modified")
+    )
+
+
+def _recent(files: DataFrame, days_back: int | None, as_of: datetime | None) -> DataFrame:
+    """Files whose name carries a date of the last days; without ``days_back`` all of them."""
+    if days_back is None:
+        return files
+    dated = files.withColumn("_name", file_name("path"))
+    return recent_files(dated, as_of or datetime.now(), days_back, link="_name").drop("_name", "file_date")
 
 
-def _rejected_paths(spark: SparkSession, landing: str, warehouse: Warehouse, source: str) -> Iterator[str]:
-    """Files of the landing folder that earlier loads could not use, in order of their names."""
+def _rejected_paths(spark: SparkSession, files: DataFrame, warehouse: Warehouse, source: str) -> Iterator[str]:
+    """Files that earlier loads could not use and that have changed since, in order of their names."""
     ledger = read_ledger(spark, warehouse.ledger).where(F.col("source") == source)
-    failed = read_rejected_files(spark, warehouse.rejected).where(F.col("source") == source).select("filename")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(landing)
-    again = _new_files(files, ledger).join(failed.distinct(), "filename", "left_semi")
-    return (r.path for r in again.orderBy("filename").toLocalIterator())
+    failed = read_rejected_files(spark, warehouse.rejected).where(F.col("source") == source)
+    changed = (
+        _described(files)
+        .join(failed.select("filename").distinct(), "filename", "left_semi")
+        .join(failed.select("filename", "length", "modified"), ["filename", "length", "modified"], "left_anti")
+    )
+    return (r.path for r in _new_files(changed, ledger).orderBy("filename").toLocalIterator())
 
 
 def _retry(spark: SparkSession, paths: Iterable[str], warehouse: Warehouse, source: str, at_once: int) -> None:
-    """Load rejected files again, as a file may have landed anew under its name.
+    """Load changed files again.
 
     The load is named after its files, so a retry repeated after a failure replaces its own output.
     """
     for some in batched(paths, at_once):
         digest = hashlib.sha256("\n".join(some).encode()).hexdigest()[:16]
-        _load_zips(spark, list(some), warehouse, source, f"{source}-retry-{digest}")
+        _load_zips(spark, list(some), warehouse, source, f"{source}-retry-{digest}-{uuid.uuid4().hex[:8]}")
 
 
 def ingest_market_zips(
@@ -148,17 +257,25 @@ def ingest_market_zips(
     source: str = "current",
     max_files_per_batch: int = 1000,
     max_file_age: str | None = None,
+    days_back: int | None = None,
+    as_of: datetime | None = None,
 ) -> StreamingQuery:
     """Load the zip files of a landing folder that are not loaded yet, then stop.
 
-    The stream's checkpoint remembers the files seen, the ledger the file names loaded. Each micro-batch
-    writes folders named after its number, so a batch repeated after a failure replaces its own output.
-    Files that gave no rows are listed in ``rejected_files`` and tried again by every later run.
-    Await the returned query before using the tables.
+    The stream's checkpoint remembers the files seen, the ledger the file names loaded. A micro-batch repeated after
+    a failure finds its rows live and changes nothing. An interval that occurs in several archives is kept once, as
+    changed last; rows without a usable price go to ``rejected_rows``.
+
+    ``days_back`` opens only files whose name carries a date of that many days before ``as_of`` (now by default) or
+    later. The date is read from the name, before any content. Files passed over for their date, or for having none,
+    are seen once and not offered again: a date in the past does not come nearer. Files that gave no rows are listed
+    in ``rejected_files`` with size and time of change, and tried again once either differs. Await the returned query
+    before using the tables.
     """
-    create_ledger(spark, warehouse.ledger)
-    create_rejected_files(spark, warehouse.rejected)
-    _retry(spark, _rejected_paths(spark, landing, warehouse, source), warehouse, source, max_files_per_batch)
+    create_tables(spark, warehouse)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(landing)
+    again = _rejected_paths(spark, _recent(listed, days_back, as_of), warehouse, source)
+    _retry(spark, again, warehouse, source, max_files_per_batch)
     stream = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -178,8 +295,7 @@ def ingest_market_zips(
         _load_zips(session, chosen, warehouse, source, load_id)
 
     return (
-        stream.load(landing)
-        .select("path")
+        _recent(stream.load(landing).select("path"), days_back, as_of)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", warehouse.checkpoint(source))
         .trigger(availableNow=True)
@@ -196,16 +312,21 @@ def backfill_history(
     load_id: str,
     *,
     source: str = "historic",
+    files_at_once: int = 1000,
 ) -> None:
-    """Load the historical CSV files of one year that are not loaded yet.
+    """Load the historical CSV files of one year that are not loaded yet, ``files_at_once`` in one load.
 
-    ``load_id`` names the run: repeating a failed run under the same name replaces its output.
+    ``load_id`` names the run. Files of a finished load are not opened again, and repeating one changes nothing.
     """
-    create_ledger(spark, warehouse.ledger)
+    create_tables(spark, warehouse)
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{year}*.csv").load(folder)
-    # File names only, like the listing Spark keeps on the driver itself; loaded files are not opened.
-    chosen = [r.path for r in _new_files(files, _loaded(spark, warehouse, source, load_id)).collect()]
-    if not chosen:
-        return
-    prices = clean_history(read_history_csv(spark, [_literal_path(path) for path in chosen], year), year, cutoff)
-    _store(prices.drop("filename"), prices.select("filename").distinct(), warehouse, source, load_id)
+    wanted = _new_files(files, read_ledger(spark, warehouse.ledger).where(F.col("source") == source))
+    # Names come to the driver a load at a time; contents do not.
+    paths = (r.path for r in wanted.orderBy("filename").toLocalIterator())
+    for some in batched(paths, files_at_once):
+        digest = hashlib.sha256("\n".join(some).encode()).hexdigest()[:16]
+        raw = read_history_csv(spark, [_literal_path(path) for path in some], year)
+        prices = clean_history(raw, year, cutoff)
+        named = prices.select("filename").distinct()
+        rejected = rejected_history(raw, year, cutoff)
+        _store(prices.drop("filename"), rejected, named, warehouse, source, f"{load_id}-{digest}")
