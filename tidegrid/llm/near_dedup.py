@@ -5,11 +5,12 @@ of two sketches is the sketch of the union, and the share of equal registers gro
 
 1. Documents with the same shingle set are one class; everything below works on classes.
 2. Bands of registers form buckets. A bucket of up to ``SMALL`` classes gives all its pairs. A larger one gives a pair
-   of every member with a few hubs, among them its most central member.
+   of every member with its most central one.
 3. For every pair the similarity is estimated from both sketches by maximum likelihood. Pairs whose estimate lies more
    than ``MARGIN`` standard deviations below the threshold are dropped.
 4. The rest is verified on full shingle sets, best pairs first; pairs whose classes are connected by then are implied.
-5. Classes of larger buckets in which several components remain are joined on their rarest shingles. Sizes and
+5. Where a larger bucket still holds several components, its classes are paired with random ones of other components.
+6. Classes of larger buckets in which several components remain even so are joined on their rarest shingles. Sizes and
    positions in the order of rarity rule pairs out before they meet, so every pair that can reach the threshold is
    found, whatever many of them have in common.
 
@@ -39,7 +40,7 @@ BASE = 1.09
 RATE = 20.0
 MARGIN = 4.5
 SMALL = 24
-HUBS = 3
+SALTED = 2
 
 _MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 4096
@@ -157,23 +158,36 @@ def _pairs(buckets: DataFrame) -> DataFrame:
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     )
     hot = buckets.where(F.col("members") > SMALL)
-    # A member is central when many of its buckets are large: it has the registers that most others share.
+    # A member is central when many of its buckets are large: it has the registers that most others share. Few
+    # classes are the most central of all the buckets of a group, so its members meet the same ones again and again.
     central = hot.groupBy("cls").agg(F.sum(F.log("members")).alias("central"))
-    ranked = hot.join(central, "cls")
-    salted = [F.xxhash64("cls", "key", F.lit(i)) for i in range(HUBS - 1)]
-    member = F.struct("cls", "size")
-    hubs = ranked.groupBy("key").agg(
-        F.array(F.max_by(member, F.struct("central", "cls")), *[F.min_by(member, s) for s in salted]).alias("hubs")
+    hubs = hot.join(central, "cls").groupBy("key").agg(
+        F.max_by(F.struct("cls", "size"), F.struct("central", "cls")).alias("hub")
     )
     starred = (
         hot.join(hubs, "key")
-        .select("cls", "size", F.explode(F.array_distinct("hubs")).alias("hub"))
         .where((F.col("cls") != F.col("hub.cls")) & _sizes_fit(F.col("size"), F.col("hub.size")))
         .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
     )
     return all_pairs.unionByName(starred).distinct()
 
 
+def _salted_pairs(mixed: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of every class in a mixed bucket with ``SALTED`` random ones of another component."""
+    hubs = mixed.groupBy("key").agg(
+        F.array(
+            *[F.min_by(F.struct("cls", "size", "comp"), F.xxhash64("cls", "key", F.lit(i))) for i in range(SALTED)]
+        ).alias("hubs")
+    )
+    return (
+        mixed.join(hubs, "key")
+        .select("cls", "size", "comp", F.explode(F.array_distinct("hubs")).alias("hub"))
+        .where((F.col("comp") != F.col("hub.comp")) & _sizes_fit(F.col("size"), F.col("hub.size")))
+        .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
+        .distinct()
+    )
+
+
 _ESTIMATED = "a bigint, b bigint, similarity double"
 
 
@@ -280,19 +294,25 @@ def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(apart).select("a", "b")
 
 
-def _link(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _link(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Labels after verifying ``pairs``: first each class's most similar partner, then what is still apart."""
-    both = F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("two")),
-                             F.struct(F.col("b").alias("one"), F.col("a").alias("two")))).alias("p")
+    # The best partner on either side first, which reduces the pairs before each counts for both of its classes.
+    sides = [
+        pairs.groupBy(F.col(one).alias("one")).agg(
+            F.max(F.struct("similarity", (-F.col(two)).alias("other"))).alias("best")
+        )
+        for one, two in ("ab", "ba")
+    ]
     best = (
-        pairs.select(both, "similarity")
-        .groupBy("p.one")
-        .agg(F.max_by("p.two", F.struct("similarity", -F.col("p.two"))).alias("two"))
+        sides[0]
+        .unionByName(sides[1])
+        .groupBy("one")
+        .agg((-F.max("best")["other"]).alias("two"))
         .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
         .distinct()
     )
     first = written(best)
-    labels = connect(written(_verified(first, texts).select("a", "b")))
+    labels = connect(written(_verified(first, texts).select("a", "b")), labels)
     rest = written(_open(pairs.join(first, ["a", "b"], "left_anti"), labels))
     return connect(written(_verified(rest, texts).select("a", "b")), labels)
 
@@ -329,7 +349,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = _link(pairs, texts)
     mixed = written(_mixed(buckets, labels))
     if not mixed.isEmpty():
-        found = written(_estimated(_rare_pairs(mixed, texts), classes))
+        labels = _link(written(_estimated(_salted_pairs(mixed), classes)), texts, labels)
+        apart = _mixed(buckets, labels).select("cls", "comp", "size").distinct()
+        found = written(_estimated(_rare_pairs(written(apart), texts), classes))
         labels = connect(written(_verified(found, texts).select("a", "b")), labels)
     named = sketched.select("doc_id", "text_key", "n_shingles", F.when(F.col("digest").isNotNull(), cls).alias("cls"))
     placed = named.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -355,11 +377,11 @@ def _texts(keyed: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFram
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``cls, comp, size`` of the classes in large buckets that hold several components."""
+    """``key, cls, comp, size`` of the classes in large buckets that hold several components."""
     hot = buckets.where(F.col("members") > SMALL).join(labels, "cls", "left")
     hot = hot.select("key", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
     several = hot.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return hot.join(_large(several.select("key")), "key", "left_semi").select("cls", "comp", "size").distinct()
+    return hot.join(_large(several.select("key")), "key", "left_semi")
 
 
 _SHINGLED = "cls bigint, comp bigint, size bigint, gram bigint"
