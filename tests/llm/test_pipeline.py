@@ -2,6 +2,7 @@ import pytest
 from llm_fixtures import SF, awkward, make_docs  # noqa: F401
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tidegrid.llm.common import written
 
 
@@ -50,3 +51,13 @@ def test_stages_take_awkward_rows(spark, make_docs, awkward):
 def test_run_equals_its_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages["mixing"].collect()))
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    extra = ("score", "n_words", "_fence", "_id", "_text_key", "row", "coverage", "text_key", "_q_words", "kept")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    docs = written(docs.select("*", *[F.concat(F.lit(f"{name} "), "doc_id").alias(name) for name in extra]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.count() > 20, name
+        assert got.where(" OR ".join(f"{c} != concat('{c} ', doc_id)" for c in extra)).isEmpty(), name

@@ -59,19 +59,23 @@ def count_space_words(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the one that ``spark.checkpoint.dir`` names, which all executors see.
 
-    Where the setting is absent, as in local tests, one is made in the driver's temporary folder.
+    Where the setting is absent, one is made in the driver's temporary folder for a local master; a cluster must have it.
     """
     return f"{_root(spark)}/{uuid.uuid4().hex}"
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def _root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
+        root = _LOCAL_ROOTS[context.applicationId]
     return root.rstrip("/")
 
 

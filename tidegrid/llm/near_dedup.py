@@ -39,7 +39,7 @@ REGISTERS = BANDS * BAND_REGISTERS
 BASE = 1.09
 RATE = 20.0
 MARGIN = 4.5
-SMALL = 24
+SMALL = 8
 SALTED = 2
 
 _MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

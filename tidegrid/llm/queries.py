@@ -81,7 +81,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules(docs, _table(spark, sf_dir, "labels"), buckets=MODEL_BUCKETS, threshold=None)
-    return judged.drop("text")
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *base, "score")
 
 
 MIX_SQL = r"""
