@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -135,3 +136,52 @@ def test_hot_bucket(spark):
     hours = {r.SETTLEMENTDATE.hour: r for r in resample(prices, "hourly").collect()}
     own = [p for at, _, p in rows if at.hour == 5]
     assert hours[5].max_price == max(own) and hours[5].mean_price == pytest.approx(sum(own) / len(own))
+
+
+def scans(df):
+    """File scans that ran: those of the final plans, a reused exchange or subquery counting once."""
+    df.collect()
+    found, skipped = 0, None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        column = len(line) - len(line.lstrip(" :|+-*()0123456789"))
+        if skipped is not None and column > skipped:
+            continue
+        skipped = column if "== Initial Plan ==" in line else None
+        found += "FileScan" in line
+    return found
+
+
+def test_statistics_scan_twice_and_histograms_once(spark):
+    assert scans(price_histogram(event_prices(spark, SF))) == 1
+    assert scans(describe_prices(event_prices(spark, SF))) == 2
+
+
+@pytest.mark.parametrize("prices", [[1e-300, 2e-300, 3e-300], [-1e11, 1e11, 0.1], [5.0] * 1000, [1.0], [None, 2.0], []])
+def test_percentiles_of_any_level_and_spacing(spark, make_prices, prices):
+    df = make_prices([(f"2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}", "R", p) for i, p in enumerate(prices)])
+    known = sorted(p for p in prices if p is not None)
+    got = exact_percentiles(df, (0.0, 0.05, 0.5, 0.95, 1.0)).first()
+    if not known:
+        assert list(got) == [None] * 5
+        return
+    want = np.percentile(known, [0, 5, 50, 95, 100])
+    assert np.allclose(np.array(list(got), float), want, rtol=1e-12)
+
+
+def test_percentiles_of_many_distinct_prices(spark):
+    df = spark.range(200_000).select(
+        F.lit(None).cast("timestamp_ntz").alias("SETTLEMENTDATE"), (F.xxhash64("id") % 10**9 / 1000).alias("RRP")
+    )
+    values = df.toPandas()["RRP"].to_numpy()
+    got = exact_percentiles(df).first()
+    assert np.allclose(list(got), np.percentile(values, [5, 25, 50, 75, 95]), rtol=1e-12)
+
+
+def test_a_gap_of_two_thousand_years_is_filled_in_runs(spark, make_prices):
+    df = make_prices([("0001-01-01 00:00", "R", 1.0), ("2024-01-01 00:00", "R", 3.0)])
+    filled = resample(df, "daily", by=["REGIONID"])
+    row = filled.agg(F.count("*").alias("n"), F.count("mean_price").alias("known"), F.countDistinct("SETTLEMENTDATE").alias("d"))
+    days = (datetime(2024, 1, 1) - datetime(1, 1, 1)).days + 1
+    assert tuple(row.first()) == (days, 2, days)
+    weeks = resample(df, "weekly").agg(F.count("*").alias("n"), F.max("SETTLEMENTDATE").alias("last")).first()
+    assert weeks.n == (weeks.last - datetime(1, 1, 7)).days // 7 + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.numeric import exact_mean
@@ -16,72 +16,86 @@ PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 HISTOGRAM_BINS = 50
 HIGH_PRICE = 300.0
 
+# A percentile of the sketch is off by at most one row in this many.
+ACCURACY = 10_000
+
 
 def percentile_name(q: float) -> str:
     """``p5``, ``p25``, .."""
     return f"p{round(q * 100, 6):g}"
 
 
-def exact_percentiles(prices: DataFrame, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
-    """Linearly interpolated percentiles of ``RRP`` as one row, without gathering the values in one task.
+def _bracket_shares(percentiles: Sequence[float]) -> list[float]:
+    """Shares below and above each percentile by more than the sketch's error and the two rows it lies between."""
+    margin = 5.0 / ACCURACY
+    return [share for q in percentiles for share in (max(0.0, float(q) - margin), min(1.0, float(q) + margin))]
 
-    Rows are first reduced to a count per distinct price, then to a count per whole dollar. The running
-    count over the dollar levels, which price floor and cap bound, locates the dollars that hold the wanted
-    order statistics: at most two per percentile. Only the distinct prices inside those are ordered.
+
+def _order_statistics(prices: DataFrame, percentiles: Sequence[float], known: Column) -> DataFrame:
+    """Interpolated percentiles as one row, from the row count and the bracketing prices in ``known``.
+
+    One scan counts the rows between the brackets and, inside them, the rows of each price. Counts of everything
+    before a bracket are a few numbers; only prices inside one are ordered, each stretch on its own.
     """
+    # Fewer rows than the sketch resolves are all taken: two rows of them are more than the brackets' margin.
+    edges = [
+        F.when(known["rows"] >= ACCURACY, known["brackets"][i]).otherwise(F.lit(float("inf") if i % 2 else float("-inf")))
+        for i in range(2 * len(percentiles))
+    ]
+    price = F.col("RRP")
+    inside = F.lit(False)
+    for low, high in zip(edges[::2], edges[1::2], strict=True):
+        inside = inside | price.between(low, high)
+    # As many edges lie below a price as below every other one of its stretch; what is outside comes first in it.
+    stretch = sum(((edge < price).cast("int") for edge in edges), F.lit(0))
     counts = (
-        prices.where(F.col("RRP").isNotNull())
-        .groupBy(F.col("RRP").alias("price"))
+        prices.where(price.isNotNull())
+        .select(stretch.alias("stretch"), F.when(inside, price).alias("price"))
+        .groupBy("stretch", "price")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("level", F.floor("price"))
     )
-    by_level = Window.orderBy("level")
-    levels = (
-        counts.groupBy("level")
-        .agg(F.sum("n").alias("n"))
-        .withColumns(
-            {
-                "before": F.sum("n").over(by_level) - F.col("n"),
-                "total": F.sum("n").over(by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-            }
-        )
-    )
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in percentiles]))
-    rank = F.col("q") * (F.col("total") - 1)
-    lower, upper = F.floor(rank), F.ceil(rank)
-    inside = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("n"))
-    targets = (
-        levels.withColumn("q", wanted)
-        .where(inside(lower) | inside(upper))
-        .select("level", "before", "q", rank.alias("rank"), lower.alias("lower"), upper.alias("upper"))
-    )
-    # Two rows per percentile at most, whatever the input size.
-    target_levels = F.broadcast(targets.select("level").distinct())
-    within = Window.partitionBy("level").orderBy("price")
-    placed = (
-        counts.join(target_levels, "level", "left_semi")
-        .withColumn("ahead", F.sum("n").over(within) - F.col("n"))
-        .join(F.broadcast(targets), "level")
-        .withColumn("first", F.col("before") + F.col("ahead"))
+    by_stretch = Window.orderBy("stretch")
+    before = counts.groupBy("stretch").agg(F.sum("n").alias("rows")).select(
+        F.col("stretch").alias("at"), (F.sum("rows").over(by_stretch) - F.col("rows")).alias("before")
     )
-    holds = lambda at: (F.col(at) >= F.col("first")) & (F.col(at) < F.col("first") + F.col("n"))
-    ends = placed.groupBy("q", "rank", "lower").agg(
-        F.max(F.when(holds("lower"), F.col("price"))).alias("low"),
-        F.max(F.when(holds("upper"), F.col("price"))).alias("high"),
-    )
-    weight = F.col("rank") - F.col("lower")
-    value = F.col("low") * (1 - weight) + F.col("high") * weight
-    return ends.agg(
-        *[F.max(F.when(F.col("q") == float(q), value)).alias(percentile_name(q)) for q in percentiles]
+    within = Window.partitionBy("stretch").orderBy(F.col("price").asc_nulls_first())
+    placed = counts.join(F.broadcast(before), F.col("stretch") == F.col("at")).select(
+        "price", "n", (F.col("before") + F.sum("n").over(within) - F.col("n")).alias("first")
     )
 
+    def value(q: float) -> Column:
+        rank = F.lit(float(q)) * (known["rows"] - 1)
+        lower = F.floor(rank)
+        ends = [
+            F.max(F.when((at >= F.col("first")) & (at < F.col("first") + F.col("n")), F.col("price")))
+            for at in (lower, F.ceil(rank))
+        ]
+        weight = F.max(rank - lower)
+        return ends[0] * (1 - weight) + ends[1] * weight
+
+    return placed.agg(*[value(q).alias(percentile_name(q)) for q in percentiles])
+
+
+def _sketch(shares: Sequence[float], accuracy: int) -> Column:
+    return F.percentile_approx("RRP", [float(s) for s in shares], accuracy)
+
+
+def exact_percentiles(prices: DataFrame, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
+    """Linearly interpolated percentiles of ``RRP`` as one row, without gathering the values in one task.
+
+    A first scan takes the row count and, from a mergeable sketch, two prices around each percentile; a second one
+    finds the exact order statistics between them. Nothing is assumed of the level or the spacing of prices.
+    """
+    summary = prices.agg(F.count("RRP").alias("rows"), _sketch(_bracket_shares(percentiles), ACCURACY).alias("brackets"))
+    return _order_statistics(prices, percentiles, summary.select(F.struct("*")).scalar())
+
 
 def describe_prices(
-    prices: DataFrame, percentiles: Sequence[float] = PERCENTILES, approximate: bool = False, accuracy: int = 10_000
+    prices: DataFrame, percentiles: Sequence[float] = PERCENTILES, approximate: bool = False, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Count, mean, deviation, extremes, percentiles and date range of prices, as one row.
 
-    ``approximate`` takes the percentiles from a mergeable sketch in the same pass over the data.
+    ``approximate`` takes the percentiles from a mergeable sketch in one pass over the data; exact ones take a second.
     """
     stats = [
         F.count("RRP").alias("count"),
@@ -94,27 +108,35 @@ def describe_prices(
     ]
     names = [percentile_name(q) for q in percentiles]
     if approximate:
-        sketch = F.percentile_approx("RRP", [float(q) for q in percentiles], accuracy)
-        summary = prices.agg(*stats, sketch.alias("_q"))
+        summary = prices.agg(*stats, _sketch(percentiles, accuracy).alias("_q"))
         return summary.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]).drop("_q")
-    exact = exact_percentiles(prices, percentiles).select(F.struct(*names).alias("q"))
-    return prices.agg(*stats).withColumn("_q", exact.scalar()).select("*", "_q.*").drop("_q")
+    summary = prices.agg(
+        *stats, F.count("RRP").alias("rows"), _sketch(_bracket_shares(percentiles), ACCURACY).alias("brackets")
+    )
+    known = summary.select(F.struct("*")).scalar()
+    exact = _order_statistics(prices, percentiles, known)
+    # The scalar is one subquery wherever it is named.
+    return exact.withColumn("_known", known).select("_known.*", *names).drop("rows", "brackets")
 
 
 def price_histogram(prices: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Rows per equal-width price bin between minimum and maximum, empty bins included.
 
-    The maximum belongs to the last bin; when all prices are equal they fall into the first.
+    The maximum belongs to the last bin; when all prices are equal they fall into the first. One scan counts the rows
+    of each price; range and bins both follow from these counts.
     """
-    known = prices.where(F.col("RRP").isNotNull()).select("RRP")
-    span = known.agg(F.struct(F.min("RRP").alias("low"), F.max("RRP").alias("high")).alias("span")).scalar()
+    counts = prices.where(F.col("RRP").isNotNull()).groupBy("RRP").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.struct(F.min("RRP").alias("low"), F.max("RRP").alias("high"), F.sum("n").alias("rows"))
+    span = counts.agg(ends.alias("span")).scalar()
     width = (F.col("span.high") - F.col("span.low")) / bins
     position = F.floor((F.col("RRP") - F.col("span.low")) / width)
     binned = (
-        known.withColumn("span", span)
-        .select(F.when(width == 0, F.lit(0)).otherwise(F.least(position, F.lit(bins - 1))).cast("bigint").alias("bin"))
+        counts.withColumn("span", span)
+        .select(
+            F.when(width == 0, F.lit(0)).otherwise(F.least(position, F.lit(bins - 1))).cast("bigint").alias("bin"), "n"
+        )
         .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("records"))
+        .agg(F.sum("n").alias("records"))
     )
     edges = prices.sparkSession.range(0, bins, 1, 1).select(F.col("id").alias("bin")).withColumn("span", span)
     return edges.join(binned, "bin", "left").select(

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidegrid.functions.calendar import truncate
 from tidegrid.functions.numeric import exact_mean
 
-_STEP = {"hourly": "INTERVAL 1 HOUR", "daily": "INTERVAL 1 DAY", "weekly": "INTERVAL 7 DAYS"}
+_STEP = {"hourly": (1, "HOUR"), "daily": (1, "DAY"), "weekly": (7, "DAY")}
+# Buckets of a gap that one row is spread into at a time.
+RUN = 1000
 
 
 def resample(prices: DataFrame, every: str, by: Sequence[str] = (), fill_gaps: bool = True) -> DataFrame:
@@ -43,11 +45,20 @@ def resample(prices: DataFrame, every: str, by: Sequence[str] = (), fill_gaps: b
     )
     if not fill_gaps:
         return filled.withColumnRenamed("_bucket", "SETTLEMENTDATE").select(*by, "SETTLEMENTDATE", *values)
-    step = F.expr(_STEP[every])
+    size, unit = _STEP[every]
     following = F.lead("_bucket").over(Window.partitionBy(*by).orderBy("_bucket"))
-    last_empty = F.coalesce(following - step, F.col("_bucket"))
-    spread = filled.withColumn("SETTLEMENTDATE", F.sequence("_bucket", last_empty, step)).withColumn(
-        "SETTLEMENTDATE", F.explode("SETTLEMENTDATE")
+    buckets = F.coalesce(F.floor(F.timestamp_diff(unit, F.col("_bucket"), following) / size), F.lit(1))
+    # A gap of any length is cut in runs before it is spread out, so no row holds all of it.
+    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_buckets") - 1) / RUN)))
+    last = F.least(F.col("_buckets"), (F.col("_run") + 1) * RUN) - 1
+    spread = (
+        filled.withColumn("_buckets", buckets)
+        .withColumn("_run", runs)
+        .withColumn("_step", F.explode(F.sequence(F.col("_run") * RUN, last)))
+    )
+    ahead = (F.col("_step") * size).cast("int")
+    interval = F.make_dt_interval(F.lit(0), ahead) if unit == "HOUR" else F.make_dt_interval(ahead)
+    own = F.col("_step") == 0
+    return spread.select(
+        *by, (F.col("_bucket") + interval).alias("SETTLEMENTDATE"), *[F.when(own, F.col(v)).alias(v) for v in values]
     )
-    own = F.col("SETTLEMENTDATE") == F.col("_bucket")
-    return spread.select(*by, "SETTLEMENTDATE", *[F.when(own, F.col(v)).alias(v) for v in values])
