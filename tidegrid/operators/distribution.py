@@ -54,14 +54,14 @@ def _order_statistics(prices: DataFrame, percentiles: Sequence[float], known: Co
         .groupBy("stretch", "price")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_stretch = Window.orderBy("stretch")
-    before = counts.groupBy("stretch").agg(F.sum("n").alias("rows")).select(
-        F.col("stretch").alias("at"), (F.sum("rows").over(by_stretch) - F.col("rows")).alias("before")
+    # What a stretch holds counts for every later one as rows before its first price.
+    later = F.transform(
+        F.sequence("stretch", F.lit(len(edges))),
+        lambda at: F.struct(at.alias("stretch"), F.when(at == F.col("stretch"), F.col("price")).alias("price")),
     )
+    spread = counts.select(F.explode(later).alias("to"), "n").groupBy("to.stretch", "to.price").agg(F.sum("n").alias("n"))
     within = Window.partitionBy("stretch").orderBy(F.col("price").asc_nulls_first())
-    placed = counts.join(F.broadcast(before), F.col("stretch") == F.col("at")).select(
-        "price", "n", (F.col("before") + F.sum("n").over(within) - F.col("n")).alias("first")
-    )
+    placed = spread.select("price", "n", (F.sum("n").over(within) - F.col("n")).alias("first"))
 
     def value(q: float) -> Column:
         rank = F.lit(float(q)) * (known["rows"] - 1)
