@@ -37,11 +37,7 @@ def _order_statistics(prices: DataFrame, percentiles: Sequence[float], known: Co
     One scan counts the rows between the brackets and, inside them, the rows of each price. Counts of everything
     before a bracket are a few numbers; only prices inside one are ordered, each stretch on its own.
     """
-    # Fewer rows than the sketch resolves are all taken: two rows of them are more than the brackets' margin.
-    edges = [
-        F.when(known["rows"] >= ACCURACY, known["brackets"][i]).otherwise(F.lit(float("inf") if i % 2 else float("-inf")))
-        for i in range(2 * len(percentiles))
-    ]
+    edges = [known["edges"][i] for i in range(2 * len(percentiles))]
     price = F.col("RRP")
     inside = F.lit(False)
     for low, high in zip(edges[::2], edges[1::2], strict=True):
@@ -76,6 +72,15 @@ def _order_statistics(prices: DataFrame, percentiles: Sequence[float], known: Co
     return placed.agg(*[value(q).alias(percentile_name(q)) for q in percentiles])
 
 
+def _edges(percentiles: Sequence[float]) -> Column:
+    """Bracketing prices, all in one array.
+
+    Fewer rows than the sketch resolves are all taken: two rows of them are more than the brackets' margin.
+    """
+    whole = F.array(*[F.lit(float(end)) for _ in percentiles for end in ("-inf", "inf")])
+    return F.when(F.col("rows") >= ACCURACY, F.col("brackets")).otherwise(whole).alias("edges")
+
+
 def _sketch(shares: Sequence[float], accuracy: int) -> Column:
     return F.percentile_approx("RRP", [float(s) for s in shares], accuracy)
 
@@ -87,7 +92,7 @@ def exact_percentiles(prices: DataFrame, percentiles: Sequence[float] = PERCENTI
     finds the exact order statistics between them. Nothing is assumed of the level or the spacing of prices.
     """
     summary = prices.agg(F.count("RRP").alias("rows"), _sketch(_bracket_shares(percentiles), ACCURACY).alias("brackets"))
-    return _order_statistics(prices, percentiles, summary.select(F.struct("*")).scalar())
+    return _order_statistics(prices, percentiles, summary.select(F.struct("rows", _edges(percentiles))).scalar())
 
 
 def describe_prices(
@@ -113,10 +118,10 @@ def describe_prices(
     summary = prices.agg(
         *stats, F.count("RRP").alias("rows"), _sketch(_bracket_shares(percentiles), ACCURACY).alias("brackets")
     )
-    known = summary.select(F.struct("*")).scalar()
+    known = summary.select(F.struct("*", _edges(percentiles))).scalar()
     exact = _order_statistics(prices, percentiles, known)
     # The scalar is one subquery wherever it is named.
-    return exact.withColumn("_known", known).select("_known.*", *names).drop("rows", "brackets")
+    return exact.withColumn("_known", known).select("_known.*", *names).drop("rows", "brackets", "edges")
 
 
 def price_histogram(prices: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
