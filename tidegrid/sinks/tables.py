@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrid.schema import LEDGER, PARTITION_COLUMNS, REJECTED_FILES, REJECTED_ROWS, SUMMARY
 
@@ -74,7 +75,12 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def write_summary(summary: DataFrame, root: str) -> None:
-    """Replace the months of ``price_summary`` that occur in ``summary`` and leave the others."""
+    """Replace the months of ``price_summary`` that occur in ``summary`` and leave the others.
+
+    A summary without the exact sum is stored with NULL in its place.
+    """
+    if "sum_price" not in summary.columns:
+        summary = summary.withColumn("sum_price", F.lit(None).cast(SUMMARY["sum_price"].dataType))
     (
         summary.select(*SUMMARY.names)
         .hint("rebalance", "year", "month")
