@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import count_space_words
 
 CELLS = 4096
+# Inclusion weights are used to this many significant digits, so that a source has a bounded number of them.
+WEIGHT_DIGITS = 3
 _DRAW_BITS = 52
 
 
@@ -59,6 +61,42 @@ def source_targets(
     return filled.select("source", "source_size", "weight", target.alias("target"))
 
 
+def by_length() -> Column:
+    """Inclusion weight of the registered mix: the binary digits of a document's size, so long texts are drawn more often."""
+    return F.length(F.bin("size")).cast("double")
+
+
+def _weight(inclusion: str | Column) -> Column:
+    """Relative inclusion to ``WEIGHT_DIGITS`` digits; 0 for NULL, NaN, infinite and negative values."""
+    raw = (F.col(inclusion) if isinstance(inclusion, str) else inclusion).cast("double")
+    shift = F.pow(F.lit(10.0), F.lit(WEIGHT_DIGITS - 1) - F.floor(F.log10(raw)))
+    usable = (raw > 0) & (raw < float("inf")) & (shift > 0) & (shift < float("inf"))
+    return F.when(usable, F.round(raw * shift) / shift).otherwise(0.0)
+
+
+def inclusion_scales(weighted: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """``targets`` with ``_mix_scale``: expected copies of a row of its source are its ``_mix_weight`` times it, at most
+    ``max_copies``.
+
+    What rows at the limit cannot take goes to the others by weight, so that the expected words of a source are its
+    target (less only where rows of weight 0 would be needed). NULL where every row of some weight is at the limit.
+    """
+    cap = F.lit(float(max_copies))
+    weights = weighted.where("_mix_weight > 0").groupBy("source", "_mix_weight").agg(F.sum("size").alias("_words"))
+    weights = weights.select(F.col("source").alias("_of"), "_mix_weight", "_words")
+    heaviest = Window.partitionBy("_of").orderBy(F.col("_mix_weight").desc())
+    lightest = Window.partitionBy("_of").orderBy("_mix_weight")
+    mass = F.col("_mix_weight") * F.col("_words")
+    weighed = weights.join(targets, F.col("_of").eqNullSafe(F.col("source"))).withColumns(
+        {"_heavier": F.sum("_words").over(heaviest) - F.col("_words"), "_lighter": F.sum(mass).over(lightest)}
+    )
+    full = cap * F.col("_lighter") <= F.col("_mix_weight") * (F.col("target") - cap * F.col("_heavier"))
+    left = F.col("target") - cap * F.coalesce(F.sum(F.when(full, F.col("_words"))), F.lit(0))
+    scale = left / F.nullif(F.sum(F.when(~full, mass)), F.lit(0.0))
+    scales = weighed.groupBy("_of", "target").agg(scale.alias("_mix_scale")).drop("target")
+    return targets.join(scales, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def draw(seed: str) -> Column:
     """A number in (0, 1) from a hash of the document id and its size."""
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"))
@@ -71,30 +109,33 @@ def mix_sources(
     weights: Sequence[int] = (3, 1, 2),
     budget_ratio: float = 1.5,
     max_copies: int = 2,
-    inclusion: str | None = None,
+    inclusion: str | Column | None = None,
     seed: str = "mix",
 ) -> DataFrame:
     """``sized`` (``doc_id, source, size`` and any other columns) with what the mix takes of every row.
 
     Adds ``source_size``, ``target`` (words of the source in the mix), ``copies`` and ``taken`` (words). The row at
-    which a source reaches its target is taken if that brings the source nearer to it. ``inclusion`` names a column
-    of relative inclusion weights within a source (NULL or negative counts as 0); without it all rows of a source
-    have equal inclusion. An empty table gives no rows, an empty text size 0 and taken 0; a NULL source is a source
+    which a source reaches its target is taken if that brings the source nearer to it. ``inclusion`` is a column
+    of relative inclusion weights within a source, used to three digits (NULL, NaN, infinite or negative counts as 0);
+    without it all rows of a source have equal inclusion. Rows that reach ``max_copies`` leave the rest of their share to
+    the others. Very long texts are rows like others. An empty table gives no rows, an empty text size 0 and taken 0; a NULL source is a source
     of its own; repeated rows are drawn one by one. Columns named like an added one are replaced.
     """
     added = ["source_size", "target", "copies", "taken"]
     base = sized.drop(*[c for c in sized.columns if c in added or c.startswith("_mix_")])
-    share = F.lit(1.0) if inclusion is None else F.greatest(F.coalesce(F.col(inclusion), F.lit(0)), F.lit(0)).cast("double")
     targets = source_targets(base, weights, budget_ratio, max_copies).drop("weight")
-    named = targets.withColumnRenamed("source", "_mix_source")
-    joined = base.join(named, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
-    expected = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
+    weighted = base
     if inclusion is not None:
-        mass = base.groupBy("source").agg(F.sum(share * F.col("size")).alias("_mix_mass"))
-        mass = mass.withColumnRenamed("source", "_mix_source")
-        joined = joined.join(mass, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
-        expected = F.col("target") * share / F.nullif(F.col("_mix_mass"), F.lit(0.0))
-    expected = F.least(F.coalesce(expected, F.lit(0.0)), F.lit(float(max_copies)))
+        weighted = base.withColumn("_mix_weight", _weight(inclusion))
+        targets = inclusion_scales(weighted, targets, max_copies)
+    named = targets.withColumnRenamed("source", "_mix_source")
+    joined = weighted.join(named, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+    if inclusion is None:
+        expected = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    else:
+        scaled = F.coalesce(F.col("_mix_weight") * F.col("_mix_scale"), F.lit(float(max_copies)))
+        expected = F.when(F.col("_mix_weight") > 0, scaled).otherwise(0.0)
+    expected = F.least(expected, F.lit(float(max_copies)))
     chance = F.col("_mix_expected") - F.col("_mix_whole")
     odds = F.col("_mix_draw") / (F.lit(1.0) - F.col("_mix_draw"))
     order = F.when(chance > 0, odds * ((F.lit(1.0) - chance) / chance))
@@ -104,7 +145,11 @@ def mix_sources(
         .withColumn("_mix_order", order)
         .withColumn(
             "_mix_cell",
-            F.least(F.floor(F.col("_mix_order") / (F.col("_mix_order") + 1) * CELLS), F.lit(CELLS - 1)).cast("int"),
+            # ``least`` passes over NULL, which marks rows without a part to draw.
+            F.when(
+                F.col("_mix_order").isNotNull(),
+                F.least(F.floor(F.col("_mix_order") / (F.col("_mix_order") + 1) * CELLS), F.lit(CELLS - 1)),
+            ).cast("int"),
         )
     )
     # Certain copies and, by cell, what the draw can add.

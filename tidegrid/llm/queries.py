@@ -14,7 +14,7 @@ from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.language import identify_languages, learn_languages
 from tidegrid.llm.licenses import scan_licenses
 from tidegrid.llm.lm_score import score_documents
-from tidegrid.llm.mixing import mix_sources, with_size
+from tidegrid.llm.mixing import by_length, mix_sources, with_size
 from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.quality import MODEL_BUCKETS, quality_rules
 from tidegrid.llm.resample import resample
@@ -106,12 +106,24 @@ t AS (
               ELSE weight * (budget - CAST(coalesce(sum(cap) FILTER (capped) OVER (), 0) AS DOUBLE))
                    / CAST(sum(weight) FILTER (NOT capped) OVER () AS DOUBLE) END AS target
   FROM c),
+g AS (
+  SELECT source, CAST(length(bin(size)) AS DOUBLE) AS k, CAST(sum(size) AS DOUBLE) AS words FROM d GROUP BY ALL),
+h AS (
+  SELECT g.source, k, words, target,
+         2 * (SELECT sum(o.k * o.words) FROM g o WHERE o.source IS NOT DISTINCT FROM g.source AND o.k <= g.k)
+         <= k * (target - 2 * coalesce(
+           (SELECT sum(o.words) FROM g o WHERE o.source IS NOT DISTINCT FROM g.source AND o.k > g.k), 0)) AS at_limit
+  FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+m AS (
+  SELECT source, (any_value(target) - 2 * coalesce(sum(words) FILTER (at_limit), 0))
+                 / nullif(sum(k * words) FILTER (NOT at_limit), 0) AS scale
+  FROM h GROUP BY source),
 e AS (
   SELECT doc_id, d.source, size, source_size, target,
-         least(coalesce(target / CAST(nullif(source_size, 0) AS DOUBLE), 0), 2) AS expected,
+         least(coalesce(CAST(length(bin(size)) AS DOUBLE) * scale, 2), 2) AS expected,
          (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), 1, 13) AS BIGINT)
            + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS draw
-  FROM d LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  FROM d LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source),
 q AS (
   SELECT *, CAST(floor(expected) AS BIGINT) AS whole,
          CASE WHEN expected > floor(expected)
@@ -130,7 +142,7 @@ FROM (SELECT *, CASE WHEN ord IS NOT NULL AND 2 * (reach - size) + size <= 2 * r
 @register("op9_mix_sources", MIX_SQL.replace("{docs}", "documents"))
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = with_size(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    return mix_sources(written(sized)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(written(sized), inclusion=by_length()).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @register("op4_language_id")
