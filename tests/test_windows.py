@@ -11,7 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tidegrid.operators.arbitrage import annual_arbitrage, daily_arbitrage
-from tidegrid.operators.groups import cut_groups, oversized_groups
+from tidegrid.operators.groups import DIGIT_BITS, cut_groups, order_digits, oversized_groups, rows_before
 from tidegrid.operators.windows import (
     monthly_extremes,
     period_of_day,
@@ -159,6 +159,34 @@ def test_chunks_stay_bounded(skewed):
     assert max(sizes) <= 50 and len(sizes) > 15
 
 
+def test_digits_keep_the_order(spark):
+    values = [-(2**63), -(2**40) - 5, -4097, -4096, -1, 0, 1, 4095, 4096, 2**36 - 1, 2**36, 2**63 - 1]
+    table = spark.createDataFrame([(v,) for v in values], "v long")
+    digits = order_digits(F.col("v"), "d")
+    found = table.select("v", *[c.alias(n) for n, c in digits.items()]).collect()
+    assert [r.v for r in sorted(found, key=lambda r: tuple(r)[1:])] == values
+    assert all(0 <= d < 2**DIGIT_BITS for r in found for d in tuple(r)[2:])
+
+
+def test_ranks_of_a_hot_day_are_summed_in_bounded_windows(spark):
+    """30,000 different levels of one group: same running totals, and no window over more than a digit's values."""
+    draw = random.Random(3)
+    levels = {draw.randrange(-(10**12), 10**12): draw.randrange(1, 9) for _ in range(30000)}
+    rows = [("R", v, n) for v, n in levels.items()]
+    cells = spark.createDataFrame(rows, "k string, v long, _n long").withColumns(order_digits(F.col("v"), "d"))
+    slots = [c for c in cells.columns if c.startswith("d")]
+    so_far, expected = 0, {}
+    for v in sorted(levels):
+        expected[v] = so_far
+        so_far += levels[v]
+    assert {r.v: r._before for r in rows_before(cells, ["k"], slots).collect()} == expected
+    for depth in range(len(slots)):
+        widest = cells.groupBy("k", *slots[:depth]).agg(F.countDistinct(slots[depth]).alias("n")).agg(F.max("n")).first()[0]
+        assert widest <= 2**DIGIT_BITS
+    plan = rows_before(cells, ["k"], slots)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in line for line in plan.splitlines()) == len(slots)
+
+
 def test_literal_ranking_agrees_with_struct_form(skewed):
     _, prices = skewed
     ranked = ranked_windows(prices, 6)

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 # Rows one task may sort and frame as a single group.
 MAX_GROUP_ROWS = 1_000_000
 
+# Bits of a slot of ``order_digits``: a window over one digit has at most 4,096 rows.
+DIGIT_BITS = 12
+
 # Key rows of (REGIONID, day) below this count are a few megabytes, safe to broadcast.
 MAX_BROADCAST_KEYS = 50_000
 
@@ -44,6 +47,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint() if folder else df
 
 
+def order_digits(value: Column, name: str) -> dict[str, Column]:
+    """Slots in the order of a BIGINT: its sign and highest bits first, then ``DIGIT_BITS`` bits at a time."""
+    shifts = range(64 // DIGIT_BITS * DIGIT_BITS, -1, -DIGIT_BITS)
+    digits = {f"{name}{i}": F.shiftright(value, shift) for i, shift in enumerate(shifts)}
+    below = F.lit(2**DIGIT_BITS - 1)
+    return {n: d if i == 0 else d.bitwiseAND(below) for i, (n, d) in enumerate(digits.items())}
+
+
+def rows_before(counts: DataFrame, keys: Sequence[str], slots: Sequence[str]) -> DataFrame:
+    """Add ``_before``: the sum of ``_n`` over the cells of the same ``keys`` that precede a cell in the order of ``slots``.
+
+    No window holds all cells of a group. The cells are summed up slot by slot: a window covers the distinct
+    values of one slot under one value of the slots before it, and hands its running total down to them.
+    """
+    before = None
+    for depth in range(1, len(slots) + 1):
+        path, parent = [*keys, *slots[:depth]], [*keys, *slots[: depth - 1]]
+        level = counts if depth == len(slots) else counts.groupBy(*path).agg(F.sum("_n").alias("_n"))
+        inside = Window.partitionBy(*parent).orderBy(slots[depth - 1])
+        level = level.withColumn("_inside", F.sum("_n").over(inside) - F.col("_n"))
+        if before is not None:
+            level = level.join(before.select(*parent, "_before"), parent)
+        total = F.col("_inside") if before is None else F.col("_before") + F.col("_inside")
+        before = level.withColumn("_before", total).drop("_inside")
+    return before
+
+
 def cut_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -53,18 +83,15 @@ def cut_groups(
 ) -> DataFrame:
     """Add ``_chunk`` and ``_base``: the run a row belongs to and the rows of its group before that run.
 
-    ``slots`` are named columns whose ascending order agrees with the row order inside a group. Rows of
-    one slot stay together; neighbouring slots share a chunk while they fit into ``max_group_rows``. Groups
-    not in ``big`` are one chunk.
+    ``slots`` are named columns whose ascending order, the first one first, agrees with the row order inside a
+    group. Rows of one slot stay together; neighbouring slots share a chunk while they fit into
+    ``max_group_rows``. Groups not in ``big`` are one chunk.
     """
     slotted = df.withColumns(dict(slots))
     cell = [*keys, *slots]
-    in_order = Window.partitionBy(*keys).orderBy(*slots)
+    counts = slotted.join(big, list(keys), "left_semi").groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     cuts = (
-        slotted.join(big, list(keys), "left_semi")
-        .groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
+        rows_before(counts, keys, list(slots))
         .withColumn("_chunk", F.floor(F.col("_before") / max_group_rows))
         .withColumn("_base", F.min("_before").over(Window.partitionBy(*keys, "_chunk")))
         .select(*cell, "_chunk", "_base")

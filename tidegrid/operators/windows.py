@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.calendar import INTERVAL_MINUTES, minutes, second_of_day, trade_day, truncate
 from tidegrid.functions.numeric import from_units, price_units
-from tidegrid.operators.groups import MAX_GROUP_ROWS, cut_groups, lend_edges, number_rows, oversized_groups, settle
+from tidegrid.operators.groups import (
+    MAX_GROUP_ROWS,
+    cut_groups,
+    lend_edges,
+    number_rows,
+    order_digits,
+    oversized_groups,
+    settle,
+)
 
 # Fixed value: 24 five-minute rows are the two-hour window.
 WINDOW_ROWS = 24
@@ -245,10 +253,11 @@ def ranked_windows(
     if big is not None:
         windows = settle(windows)
     level, period = F.col("window_units"), F.col("period_of_day")
-    # Equal levels are numbered block by block, so one frequent price does not become one task.
+    # The levels of a hot day are counted digit by digit and equal ones numbered block by block, so neither a day with
+    # many levels nor one frequent price becomes one task.
     block = F.floor(period / (max_group_rows or MAX_GROUP_ROWS))
     for name, order, first in (("charge_rank", level.asc(), level), ("discharge_rank", level.desc(), -level)):
-        slots = {"_level": first, "_block": block}
+        slots = {**order_digits(first, "_level"), "_block": block}
         windows = number_rows(windows, DAY, [order, period.asc()], slots, name, max_group_rows, big)
     return windows
 
