@@ -1,6 +1,7 @@
 """Readers and writers of files, in temporary folders."""
 
 import io
+import time
 import zipfile
 from datetime import datetime
 
@@ -256,12 +257,39 @@ def test_history_files_of_any_width(spark, tmp_path, width):
     ('<a href="a&amp;#46;.zip"><a href="&#0;&#99999999;.zip">', ["a&#46;.zip", "&#0;&#99999999;.zip"]),
     ('<abbr href="no.zip"><a data-href="no.zip">', []),
     ('<a href="é&#233;&#128512;.zip">', ["éé😀.zip"]),
+    ('<a name=n <a href=1.zip <a x<y href=2.zip>', ["1.zip", "2.zip"]),
+    ('<a title="<a href=no.zip>" href=1.zip><a href=2.zip href=no.zip>', ["1.zip", "2.zip"]),
+    ("<a title='it\"s' href=1.zip><a x=\"b href=no.zip>", ["1.zip"]),
+    ('<a href="1.zip"><!-- never closed <a href="no.zip">', ["1.zip"]),
+    ('<a href=""><a href><a href=><a  href = 1.zip>', ["1.zip"]),
 ])
 def test_links_by_hand(spark, html, links):
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert [r.link for r in link_manifest(pages).collect()] == links
 
 
+HOSTILE = {
+    "comments": "<!-- " * 100_000,
+    "scripts": "<script " * 100_000,
+    "anchors": "<a " * 100_000,
+    "double quotes": '<a x=" ' * 100_001,
+    "mixed quotes": "<a x=\" <a y=' " * 50_001,
+    "single quote": "<a b href " * 100_000 + "<a '",
+    "attributes": "<a " + 'x="1" ' * 100_000 + "name=n>",
+    "spaces": "<a href" + " " * 100_000 + "<a href = " * 50_000,
+}
+
+
+def test_hostile_pages_take_linear_time(spark):
+    """Pages of 100,000 parts that are never closed; the link before them is found."""
+    rows = [(name, '<a href="first.zip">' + html) for name, html in HOSTILE.items()]
+    pages = spark.createDataFrame(rows, "page string, html string")
+    started = time.monotonic()
+    found = link_manifest(pages).collect()
+    assert sorted((r.page, r.link) for r in found) == sorted((name, "first.zip") for name in HOSTILE)
+    assert time.monotonic() - started < 30
+
+
 def test_history_lines_of_any_width_and_quoting(spark, tmp_path):
     """A line of 100,000 quoted fields is cut in linear time, without recursion."""
     wide = ",".join(f'"c,{i}"' for i in range(100_000))

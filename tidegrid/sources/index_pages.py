@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Text that is not markup: comments, scripts and styles.
-NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# Text that is not markup: comments, scripts and styles; one that is never closed runs to the end of the page.
+NOT_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 
-# The href value of an anchor tag, with its quotes if it has any; quoted values of other attributes are skipped whole.
-ANCHOR_HREF = r"""(?i)<a\s(?:[^>"']*(?:"[^"]*"|'[^']*'))*?[^>"']*?(?<=\s)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# What stands in an anchor tag after its name, up to its end, the next anchor or a quote that is never closed. Every
+# part is possessive: no character is read again, and the repeat is a loop, not a recursion.
+ANCHOR = r"""(?i)<a(\s(?:[^<>"']++|<(?!a\s)|"[^"]*+"|'[^']*+')*+)"""
+
+# The href value of a tag with its quotes if it has any; quoted values of other attributes match without the group.
+HREF = r"""(?i)(?<=\s)href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)|"[^"]*+"|'[^']*+'"""
 
 # The character references that occur in link text.
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def page_links(html: Column) -> Column:
-    """All anchor targets of a page in document order."""
-    markup = F.regexp_replace(html, NOT_MARKUP, "")
-    return F.transform(F.regexp_extract_all(markup, F.lit(ANCHOR_HREF), 1), _plain)
+    """All anchor targets of a page in document order, in time linear in the page."""
+    tags = F.regexp_extract_all(F.regexp_replace(html, NOT_MARKUP, ""), F.lit(ANCHOR), 1)
+    return F.transform(F.array_compact(F.transform(tags, _target)), _plain)
+
+
+def _target(tag: Column) -> Column:
+    """The first href of a tag as written, or NULL."""
+    values = F.regexp_extract_all(tag, F.lit(HREF), 1)
+    return F.get(F.filter(values, lambda value: value != ""), F.lit(0))
 
 
 def _plain(value: Column) -> Column:
