@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import count_space_words
+from tidegrid.llm.common import count_space_words, written
 
 CELLS = 4096
 # Inclusion weights are used to this many significant digits, so that a source has a bounded number of them.
@@ -128,7 +128,8 @@ def mix_sources(
     if inclusion is not None:
         weighted = base.withColumn("_mix_weight", _weight(inclusion))
         targets = inclusion_scales(weighted, targets, max_copies)
-    named = targets.withColumnRenamed("source", "_mix_source")
+    # One row per source, written so that its size is known: rows of a hot source are shuffled by it only if it is large.
+    named = written(targets.withColumnRenamed("source", "_mix_source"))
     joined = weighted.join(named, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
     if inclusion is None:
         expected = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
@@ -175,7 +176,7 @@ def mix_sources(
             "_mix_left",
         )
     )
-    placed = ranked.join(cuts, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+    placed = ranked.join(written(cuts), F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
     at_cut = F.coalesce(F.col("_mix_cell") == F.col("_mix_cut"), F.lit(False))
     rows = Window.partitionBy("source").orderBy("_mix_order", "doc_id", "size")
     before = F.col("_mix_before") + F.sum("size").over(rows.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
