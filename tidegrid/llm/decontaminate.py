@@ -135,7 +135,7 @@ def contamination(
 
     ``n_hit`` counts document words inside any match, ``contaminated`` means at least ``least_percent`` of its words.
     NULL and empty texts have no words and are clean; items without words match nothing; an item with NULL id marks
-    words but is not named or counted. Repeated rows are judged alike. An empty benchmark leaves all clean, an empty
+    words but is not named or counted. Repeated rows are judged alike, very long texts whole. An empty benchmark leaves all clean, an empty
     table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
     """
     matches = phrase_matches(docs, bench, window)

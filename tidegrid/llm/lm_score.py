@@ -285,7 +285,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     The model learns from rows with ``is_train``; NULL counts as not. Tokens are the lower-cased words (A-Z) and one end
     token, so NULL and empty texts have one token. ``score`` is the mixture's log10 probability of all tokens,
     ``base_score`` that of add-one-half unigrams. Without training rows both are 0. Repeated rows count and are
-    scored one by one; an empty table gives no rows. Other columns are ignored. N-grams are told apart by 64-bit hashes.
+    scored one by one; an empty table gives no rows. Other columns are ignored, whatever their names. A very long text counts whole; it is one
+    batch, so a task holds its words. N-grams are told apart by 64-bit hashes.
     """
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % (5 * HELD_PART) < 5
     kind = F.when(~F.coalesce("is_train", F.lit(False)), TEST).when(held, HELD).otherwise(RETAINED)

@@ -325,7 +325,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fewer words have their whole sequence as the one shingle. NULL and empty texts have no shingle and no link.
     ``kept`` marks the smallest ``doc_id`` of a component (every row that repeats it); a NULL ``doc_id`` is smaller than
     none, so it is kept only where the component has no other, as is its NULL ``component_id``. ``text_key`` is a hash of
-    the text that tells rows with equal ids apart. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+    the text that tells rows with equal ids apart. An empty table gives no rows. Only ``doc_id`` and ``text`` are read,
+    so other columns cannot clash. Very long texts count whole.
 
     Sets are compared as sets of 64-bit hashes; a pair of similarity s is a candidate with probability
     1 - (1 - s^5)^48, more than 1 - 2e-6 at the threshold, and most documents have more than one way into a component.

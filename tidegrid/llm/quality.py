@@ -225,7 +225,7 @@ def quality_rules(
 ) -> DataFrame:
     """``docs`` with text statistics, ``score`` (mean log ratio per n-gram), ``base_failed`` and ``kept``.
 
-    NULL and empty texts have no words, score 0 and fail the base rules. Texts of one word have one unigram. Rows
+    NULL and empty texts have no words, score 0 and fail the base rules. Texts of one word have one unigram, very long ones count whole. Rows
     without a label are part of the raw corpus only. Repeated rows are judged alike, an empty table gives no rows,
     and columns named like an added one are replaced. ``threshold=None`` learns it from the scores of all target
     documents, each scored without its own n-grams, so that it fits the model whatever the size of the tables.

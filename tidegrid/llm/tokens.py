@@ -37,7 +37,11 @@ def _encoding(folder: str, vocabulary: str):
 
 
 def with_token_count(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with ``n_tokens`` (long), the encoded length of the whole ``text``; 0 for NULL and empty texts."""
+    """``docs`` with ``n_tokens`` (long), the encoded length of the whole ``text``; 0 for NULL and empty texts.
+
+    Very long texts are encoded whole, repeated rows one by one; an empty table gives no rows, and a column named
+    ``n_tokens`` is replaced.
+    """
     base = docs.drop("n_tokens")
     schema = T.StructType([*base.schema.fields, T.StructField("n_tokens", T.LongType())])
 
