@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 # Rows one task may sort and frame as a single group.
 MAX_GROUP_ROWS = 1_000_000
 
-# Bits of a slot of ``order_digits``: a window over one digit has at most 4,096 rows.
-DIGIT_BITS = 12
+# Bits of a slot of ``order_digits``: a window over one digit has at most 65,536 rows.
+DIGIT_BITS = 16
 
 # Key rows of (REGIONID, day) below this count are a few megabytes, safe to broadcast.
 MAX_BROADCAST_KEYS = 50_000
@@ -49,7 +49,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def order_digits(value: Column, name: str) -> dict[str, Column]:
     """Slots in the order of a BIGINT: its sign and highest bits first, then ``DIGIT_BITS`` bits at a time."""
-    shifts = range(64 // DIGIT_BITS * DIGIT_BITS, -1, -DIGIT_BITS)
+    shifts = range(63 // DIGIT_BITS * DIGIT_BITS, -1, -DIGIT_BITS)
     digits = {f"{name}{i}": F.shiftright(value, shift) for i, shift in enumerate(shifts)}
     below = F.lit(2**DIGIT_BITS - 1)
     return {n: d if i == 0 else d.bitwiseAND(below) for i, (n, d) in enumerate(digits.items())}
